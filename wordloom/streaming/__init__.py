@@ -1,0 +1 @@
+"""No operator of this engine works on streams: every source is a finished file or table."""
