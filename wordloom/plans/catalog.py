@@ -1,6 +1,10 @@
 """All registered queries."""
 
-from wordloom.plans import corpus_workload  # noqa: F401
+from wordloom.plans import (  # noqa: F401
+    corpus_workload,
+    lexicon_workload,
+    paradigm_workload,
+)
 from wordloom.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -39,7 +39,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def source_number(source: str = "source") -> Column:
-    return F.regexp_extract(source, "([0-9]+)$", 1).cast("long")
+    return F.regexp_extract(source, "([0-9]+)$", 1).try_cast("long")
 
 
 def language_number(lang: str = "lang") -> Column:
