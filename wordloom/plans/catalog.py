@@ -1,6 +1,8 @@
 """All registered queries."""
 
 from wordloom.plans import (  # noqa: F401
+    analysis_workload,
+    cleaning_workload,
     corpus_workload,
     lexicon_workload,
     paradigm_workload,

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from wordloom.operators import corpora as build
 from wordloom.operators import lexica, links, search, words
 from wordloom.operators import lexicon_queries as q
-from wordloom.plans.corpus_workload import LISTED, LOOKUPS
+from wordloom.plans.corpus_workload import LOOKUPS
 from wordloom.plans.oracle import edit_distance, hash_of
 from wordloom.plans.registry import query
 from wordloom.plans.workload import VARIANT_LEXICON, Workload
-from wordloom.sources.tables import append
 from wordloom.scratch import new_path
+from wordloom.sources.tables import append
 
 # Raw entries to clean: the names in `part` and the titles in `customer`, padded and joined.
 ENTRIES = """
@@ -101,8 +101,7 @@ def words_without_hash(w: Workload):
 
 @query("SELECT lexicon_id, wordform FROM m_lexicon_words WHERE lexicon_id = 1")
 def lexicon_mapping(w: Workload):
-    return words.lexicon_mapping(w, lexicon_name="benchmark").select(
-        F.col("lexicon_id").cast("int").alias("lexicon_id"), "wordform")
+    return words.lexicon_mapping(w, lexicon_name="benchmark").select("lexicon_id", "wordform")
 
 
 @query("""
@@ -267,12 +266,12 @@ def corrections(w: Workload):
     return q.corrections(w, None)
 
 
-@query(f"""
+@query("""
     SELECT correction_candidate AS lookup_word, ocr_variant AS wordform,
            corpus_frequency AS frequency, ld::BIGINT AS levenshtein_distance
-    FROM m_variant_pairs WHERE correction_candidate IN {LISTED}""")
+    FROM m_variant_pairs WHERE correction_candidate IN ('thing', 'ertion', 'attion', 'nicht')""")
 def corrections_of_word(w: Workload):
-    return q.corrections(w, LOOKUPS)
+    return q.corrections(w, ["thing", "ertion", "attion", "nicht"])
 
 
 # Links.

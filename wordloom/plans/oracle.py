@@ -62,7 +62,7 @@ CTES = {
             SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS wordform
             FROM benchmark) WHERE length(wordform) <= 255""",
     "m_lexicon_words": """
-        SELECT 1 AS lexicon_id, wordform FROM m_benchmark_words
+        SELECT 1::BIGINT AS lexicon_id, wordform FROM m_benchmark_words
         UNION ALL SELECT (unicode(lang[1]) * 1000 + unicode(lang[2]))::BIGINT, wordform
             FROM m_tokens GROUP BY lang, wordform HAVING count(DISTINCT doc_id) >= 3
         UNION ALL SELECT DISTINCT 9, wordform_from FROM m_link_sources""",
