@@ -6,6 +6,7 @@ from wordloom.plans import (  # noqa: F401
     corpus_workload,
     lexicon_workload,
     paradigm_workload,
+    source_workload,
 )
 from wordloom.plans.registry import QUERIES
 
