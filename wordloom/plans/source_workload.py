@@ -404,10 +404,12 @@ def unknown_lists(w: Workload):
 def xml_files(w: Workload) -> str:
     """A token per paradigm row; every third one is punctuation."""
     kind = F.when(F.length("wordform") % 3 == 0, "PUNCTUATION").otherwise("WORD")
-    rows = w.paradigms.select(F.format_string(
-        '<w class="%s"><t>%s</t><pos head="%s"/><lemma class="%s"/></w>',
-        kind, "wordform", "word_type_code", F.substring("wordform", 1, 4)).alias("value"))
-    return files(w, "xml", rows.write.text)
+    rows = w.paradigms.select(
+        kind.alias("_class"), F.col("wordform").alias("t"),
+        F.struct(F.col("word_type_code").alias("_head")).alias("pos"),
+        F.struct(F.substring("wordform", 1, 4).alias("_class")).alias("lemma"))
+    return files(w, "xml", lambda path: rows.write.format("xml").option("rowTag", "w").option(
+        "rootTag", "text").save(path))
 
 
 @query("""

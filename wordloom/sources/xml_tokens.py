@@ -13,9 +13,13 @@ TOKEN_SCHEMA = (
 
 
 def read_tokens(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, wordform, part_of_speech, lemma), one row per token of class WORD."""
+    """(file, wordform, part_of_speech, lemma), one row per token of class WORD.
+
+    A file that is not well-formed stops the job.
+    """
     tokens = (
-        spark.read.format("xml").schema(TOKEN_SCHEMA).option("rowTag", "w").load(paths)
+        spark.read.format("xml").schema(TOKEN_SCHEMA).option("rowTag", "w")
+        .option("mode", "FAILFAST").load(paths)
         .select("*", F.col("_metadata.file_path").alias("path"))
     )
     return tokens.filter(F.col("_class") == "WORD").select(
