@@ -27,6 +27,15 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
+def _high_characters(encoding: str) -> tuple[str, str]:
+    """The upper 128 characters of ISO-8859-1, and of a single-byte encoding."""
+    both = [
+        (chr(code), bytes([code]).decode(encoding, errors="ignore") or chr(code))
+        for code in range(0x80, 0x100)
+    ]
+    return "".join(a for a, _ in both), "".join(b for _, b in both)
+
+
 def text_lines(
     spark: SparkSession, paths: str | list[str], glob: str | None = None,
     encoding: str | None = None,
@@ -37,12 +46,13 @@ def text_lines(
     the running id alone is not the order of the file.
     """
     if encoding:
-        # The line reader is UTF-8; other encodings go through the CSV reader, where a
+        # The line reader is UTF-8; single-byte files go through the CSV reader, where a
         # separator that cannot occur keeps the line whole.
         lines = (
-            spark.read.schema("value STRING").option("encoding", encoding)
+            spark.read.schema("value STRING").option("encoding", "ISO-8859-1")
             .option("sep", "\x1f").option("quote", "").csv(paths)
         )
+        lines = lines.withColumn("value", F.translate("value", *_high_characters(encoding)))
     else:
         lines = spark.read.text(paths)
     lines = lines.select(
@@ -66,6 +76,21 @@ def glob_pattern(glob: str) -> str:
         special.get(c, c if c.isalnum() or c == "_" else "\\" + c) for c in glob) + "$"
 
 
+def escaped_cells(line: Column, sep: str, count: int) -> list[Column]:
+    """The cells of a line whose separators and backslashes may be escaped or quoted.
+
+    Empty cells are NULL; a line with more than `count` cells stops the job.
+    """
+    cell = rf'((?:"(?:\\.|[^"\\])*"|\\.|[^{sep}\\])*){sep}'
+    cells = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(cell), F.lit(1))
+    cells = F.when(
+        F.size(cells) > count, F.raise_error(F.concat(F.lit("too many cells: "), line))
+    ).otherwise(cells)
+    bare = F.transform(cells, lambda c: F.regexp_replace(
+        F.regexp_replace(c, '^"(.*)"$', "$1"), r"\\(.)", "$1"))
+    return [F.nullif(F.get(bare, F.lit(i)), F.lit("")) for i in range(count)]
+
+
 def delimited(
     spark: SparkSession, paths: str | list[str], schema: str, sep: str, header: bool = False,
     **options: str,

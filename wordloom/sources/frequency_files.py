@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import MAX_WORD_LENGTH
-from wordloom.sources.files import delimited, dot_part, file_name, stem, text_lines
+from wordloom.sources.files import (
+    delimited, dot_part, file_name, glob_pattern, stem, text_lines,
+)
 
 
 def read_frequency_files(
@@ -92,10 +94,9 @@ def read_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, frequencies) of a corpus, both keyed by `file`.
 
-    Documents come from the listing of the files, so an empty file is a document too.
+    Documents come from the listing of the files, so a file without a usable word is a
+    document too; only a file of zero bytes is not, as Spark reads no row from it.
     """
-    from wordloom.sources.files import glob_pattern
-
     frequencies = read_frequency_files(spark, paths, layout.glob)
     listing = (
         spark.read.format("binaryFile").load(paths)
