@@ -60,13 +60,22 @@ def paradigm_code() -> Column:
 
 
 def component_code(code: Column) -> Column:
-    """Struct of the parts of a paradigm code; NULL where the code does not parse."""
-    def part(group: int) -> Column:
-        return F.nullif(F.regexp_extract(code, COMPONENT_CODE, group), F.lit(""))
+    """Struct of the parts of a paradigm code; NULL where the code does not parse.
 
-    parts = [part(i).cast("long").alias(name) for i, name in enumerate("ZYXWV", start=1)]
-    parts += [part(6).alias("word_type_code"), part(7).cast("long").alias("word_type_number")]
-    return F.when(code.rlike(COMPONENT_CODE), F.struct(*parts))
+    One match finds the code; its parts have fixed places in it.
+    """
+    found = F.regexp_extract(code, COMPONENT_CODE, 0)
+
+    def part(start: int, length: int) -> Column:
+        return F.substring(found, start, length)
+
+    places = {"Z": (2, 4), "Y": (7, 4), "X": (12, 4), "W": (17, 8), "V": (26, 4)}
+    parts = [part(*place).cast("long").alias(name) for name, place in places.items()]
+    parts += [
+        part(31, 3).alias("word_type_code"),
+        F.nullif(part(34, 3), F.lit("")).cast("long").alias("word_type_number"),
+    ]
+    return F.when(found != "", F.struct(*parts))
 
 
 def clean_entry(entry: Column) -> Column:

@@ -8,7 +8,7 @@ from wordloom.functions.bags import bags_of_texts, bags_of_word_lists, long_fram
 from wordloom.operators import corpora as build
 from wordloom.operators import corpus_queries as q
 from wordloom.plans.registry import query, rounded
-from wordloom.plans.workload import Workload
+from wordloom.plans.workload import Workload, spread
 
 LOOKUPS = ["the", "and", "of", "in"]
 LISTED = "('the', 'and', 'of', 'in')"
@@ -258,7 +258,7 @@ def effective_years(w: Workload):
 
 @query("SELECT document_id, wordform, frequency FROM m_attestations")
 def tokenized_corpus(w: Workload):
-    bags = bags_of_texts(w.source("documents").select("doc_id", "text"))
+    bags = bags_of_texts(spread(w.source("documents").select("doc_id", "text"), "doc_id"))
     return long_frame(bags, "doc_id").withColumnRenamed("doc_id", "document_id")
 
 

@@ -48,6 +48,16 @@ def language_number(lang: str = "lang") -> Column:
         "long")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan of fewer files than there are cores; a larger scan keeps its splits.
+
+    A file whose rows all sit in one row group is one task however many cores are free.  With
+    many files that does not matter, and shuffling the texts would cost far more.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 class Workload:
     """Tables derived from one folder, each made when first used.
 
@@ -73,7 +83,7 @@ class Workload:
     def bags(self) -> DataFrame:
         """(doc_id, lang, source, word_count, bag): one pass over the texts, no shuffle."""
         texts = self.source("documents").select("doc_id", "lang", "source", "text")
-        return stored(bags_of_texts(texts), "bags")
+        return stored(bags_of_texts(spread(texts, "doc_id")), "bags")
 
     @cached_property
     def attestations(self) -> DataFrame:
@@ -98,36 +108,36 @@ class Workload:
     def word_frequency(self) -> DataFrame:
         return conform(self.vocabulary, "word_frequency")
 
-    @property
+    @cached_property
     def documents(self) -> DataFrame:
         i = F.col("doc_id")
         ranged = i % 5 == 0
         start = F.lit(1800) + i % 100
-        return conform(self.bags.select(
+        return stored(conform(self.bags.select(
             i.alias("document_id"), F.concat(F.lit("doc_"), i).alias("title"),
             F.col("lang").alias("language"), "word_count",
             F.when(~ranged, F.lit(1800) + i % 200).alias("pub_year"),
             F.when(ranged, start).alias("year_from"),
             F.when(ranged, start + i % 11).alias("year_to"),
-        ), "documents")
+        ), "documents"), "documents")
 
-    @property
+    @cached_property
     def corpora(self) -> DataFrame:
         by_source = self.source("documents").select(
             (source_number() + 1).alias("corpus_id"), F.col("source").alias("name")).distinct()
         quality = self.spark.range(1).select(
             F.lit(QUALITY_CORPUS).alias("corpus_id"), F.lit("quality").alias("name"))
-        return conform(by_source.unionByName(quality), "corpora")
+        return stored(conform(by_source.unionByName(quality), "corpora").coalesce(1), "corpora")
 
-    @property
+    @cached_property
     def corpus_documents(self) -> DataFrame:
         by_source = self.source("documents").select(
             (source_number() + 1).alias("corpus_id"), F.col("doc_id").alias("document_id"))
         quality = self.source("labels").filter(F.col("quality") == 1).select(
             F.lit(QUALITY_CORPUS).alias("corpus_id"), F.col("doc_id").alias("document_id"))
-        return conform(by_source.unionByName(quality), "corpus_documents")
+        return stored(conform(by_source.unionByName(quality), "corpus_documents"), "members")
 
-    @property
+    @cached_property
     def lexica(self) -> DataFrame:
         languages = self.source("documents").select("lang").distinct().select(
             language_number().alias("lexicon_id"),
@@ -139,7 +149,7 @@ class Workload:
             F.struct(F.lit(VARIANT_LEXICON).alias("lexicon_id"),
                      F.lit("variants").alias("lexicon_name"), F.lit(False).alias("vocabulary")),
         )))
-        return conform(languages.unionByName(fixed), "lexica")
+        return stored(conform(languages.unionByName(fixed), "lexica").coalesce(1), "lexica")
 
     @property
     def benchmark_words(self) -> DataFrame:
@@ -222,7 +232,7 @@ class Workload:
             F.when(is_lemma, "HCL").when(n % 2 == 0, "HCT").otherwise("HCM"),
             F.when(n % 3 == 0, F.format_string("%03d", n)).otherwise(""),
         )
-        return w.join(lemmas, codes).select("wordform", code.alias("code"))
+        return stored(w.join(lemmas, codes).select("wordform", code.alias("code")), "coded")
 
     @cached_property
     def paradigms(self) -> DataFrame:
