@@ -62,20 +62,23 @@ def paradigm_code() -> Column:
 def component_code(code: Column) -> Column:
     """Struct of the parts of a paradigm code; NULL where the code does not parse.
 
-    One match finds the code; its parts have fixed places in it.
+    One match finds the code and its parts have fixed places in it.  The match is handed to a
+    lambda, so it is made once and not once per part.
     """
-    found = F.regexp_extract(code, COMPONENT_CODE, 0)
-
-    def part(start: int, length: int) -> Column:
-        return F.substring(found, start, length)
-
-    places = {"Z": (2, 4), "Y": (7, 4), "X": (12, 4), "W": (17, 8), "V": (26, 4)}
-    parts = [part(*place).cast("long").alias(name) for name, place in places.items()]
-    parts += [
-        part(31, 3).alias("word_type_code"),
-        F.nullif(part(34, 3), F.lit("")).cast("long").alias("word_type_number"),
-    ]
-    return F.when(found != "", F.struct(*parts))
+    def parts(found: Column) -> Column:
+        places = {"Z": (2, 4), "Y": (7, 4), "X": (12, 4), "W": (17, 8), "V": (26, 4)}
+        numbers = [
+            F.substring(found, *place).cast("long").alias(name)
+            for name, place in places.items()
+        ]
+        return F.struct(
+            *numbers, F.substring(found, 31, 3).alias("word_type_code"),
+            F.nullif(F.substring(found, 34, 3), F.lit("")).cast("long")
+            .alias("word_type_number"),
+        )
+
+    found = F.filter(F.array(F.regexp_extract(code, COMPONENT_CODE, 0)), lambda m: m != "")
+    return F.get(F.transform(found, parts), F.lit(0))
 
 
 def clean_entry(entry: Column) -> Column:

@@ -12,8 +12,8 @@ from wordloom.operators.paradigm_queries import morph_links
 from wordloom.operators.ranks import ranked
 
 
-# More listed confusions than this are refused.
-MAX_CONFUSIONS = 100_000
+# A longer confusion list is refused: it travels as one array.
+MAX_CONFUSIONS = 1_000_000
 
 
 def anahash_of_word(model: Model, words: Words) -> DataFrame:
@@ -52,26 +52,30 @@ def word_card(model: Model, words: Words) -> DataFrame:
     )
 
 
+def _shifted_to_words(hashes: DataFrame, words: DataFrame, confusions: DataFrame) -> DataFrame:
+    """(anahash, confusion, wordform): every hash moved by every confusion to known words."""
+    listed = F.collect_set("confusion")
+    too_long = F.raise_error(F.lit(f"more than {MAX_CONFUSIONS} confusions"))
+    shifts = confusions.agg(
+        F.when(F.size(listed) <= MAX_CONFUSIONS, F.sort_array(listed)).otherwise(too_long)
+        .alias("shifts")).scalar()
+    targets = hashes.withColumn("shifts", shifts).select(
+        "anahash", F.explode("shifts").alias("confusion"),
+    ).withColumn("target", F.col("anahash") + F.col("confusion"))
+    known = words.select(F.col("anahash").alias("target"), "wordform")
+    return targets.join(known, "target").select("anahash", "confusion", "wordform")
+
+
 def confusion_neighbours(model: Model, confusions: DataFrame) -> DataFrame:
     """(anahash, confusion, wordform): words one listed confusion away from a hash.
 
     Runs on distinct hashes for the whole vocabulary at once: each hash is shifted by every
     confusion and equi-joined to the words.  The words that start from a hash are its anagrams,
-    which `words` lists; pairs of words are not formed, so a large anagram class stays linear.
+    which `anahash_links` lists; pairs of words are not formed, so a large anagram class stays
+    linear.
     """
     words = model.words.filter(F.col("anahash").isNotNull())
-    # A confusion list is a few thousand numbers; the check keeps the array that each hash is
-    # multiplied by bounded.
-    values = [r["confusion"] for r in confusions.distinct().limit(MAX_CONFUSIONS + 1).collect()]
-    if len(values) > MAX_CONFUSIONS:
-        raise ValueError(f"more than {MAX_CONFUSIONS} confusions")
-    shifts = F.array(*[F.lit(v).cast("long") for v in sorted(values)])
-    targets = words.select("anahash").distinct().select(
-        "anahash", F.explode(shifts).alias("confusion"),
-    ).withColumn("target", F.col("anahash") + F.col("confusion"))
-    return targets.join(
-        words.select(F.col("anahash").alias("target"), "wordform"), "target",
-    ).select("anahash", "confusion", "wordform")
+    return _shifted_to_words(words.select("anahash").distinct(), words, confusions)
 
 
 def confusion_neighbours_of_word(
@@ -80,8 +84,7 @@ def confusion_neighbours_of_word(
     """(lookup_word, confusion, wordform): the neighbours of looked-up words."""
     asked = anahash_of_word(model, words).select(
         F.col("wordform").alias("lookup_word"), "anahash")
-    hashes = asked.select("anahash").distinct()
-    near = confusion_neighbours(model, confusions).join(hashes, "anahash", "left_semi")
+    near = _shifted_to_words(asked.select("anahash").distinct(), model.words, confusions)
     return asked.join(near, "anahash").select("lookup_word", "confusion", "wordform")
 
 

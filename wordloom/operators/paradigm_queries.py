@@ -68,22 +68,19 @@ def variants_for_lemma(
         .agg(_rows().alias("copies"))
     )
     words = forms.select("wordform").distinct()
-    corpora = model.corpus_documents.groupBy("document_id").agg(
-        F.count_distinct("corpus_id").alias("n"))
-    documents = model.documents.select(
-        "document_id", effective_year().alias("year")
-    ).join(corpora, "document_id", "left")
+    documents = model.documents.select("document_id", effective_year().alias("year"))
     mine = model.attestations.join(words, "wordform", "left_semi")
-    attested = mine.join(documents, "document_id", "left").groupBy("wordform").agg(
-        F.sum("frequency").alias("once"),
-        F.sum(F.col("frequency") * F.coalesce("n", F.lit(1))).alias("per_corpus"),
-        F.min("year").alias("min_year"), F.max("year").alias("max_year"),
-    )
-    in_corpora = (
-        mine.join(model.corpus_documents, "document_id")
-        .select("wordform", "corpus_id").distinct()
-        .groupBy("wordform").agg(_rows().alias("num_corpora"))
+    # Per word and corpus first: the second step counts corpora without a distinct.
+    per_corpus = (
+        mine.join(documents, "document_id", "left")
+        .join(model.corpus_documents, "document_id", "left")
+        .groupBy("wordform", "corpus_id")
+        .agg(F.sum("frequency").alias("f"), F.min("year").alias("first"),
+             F.max("year").alias("last"))
     )
+    attested = per_corpus.groupBy("wordform").agg(
+        F.sum("f").alias("per_corpus"), F.count("corpus_id").alias("num_corpora"),
+        F.min("first").alias("min_year"), F.max("last").alias("max_year"))
     in_lexica = model.lexicon_words.join(words, "wordform", "left_semi").groupBy(
         "wordform").agg(
         F.count_distinct("lexicon_id").alias("num_lexica"), _rows().alias("lexicon_rows"))
@@ -92,9 +89,11 @@ def variants_for_lemma(
         F.count_distinct(sum((F.col(c) for c in CODES), F.lit(0))).alias("num_paradigms"),
         _rows().alias("paradigm_rows"))
     joined = forms
-    for part in (attested, in_corpora, in_lexica, in_paradigms):
+    for part in (attested, in_lexica, in_paradigms):
         joined = joined.join(part, "wordform", "left")
     if distinct_attestations:
+        once = mine.groupBy("wordform").agg(F.sum("frequency").alias("once"))
+        joined = joined.join(once, "wordform", "left")
         frequency = F.col("once")
     else:
         frequency = (

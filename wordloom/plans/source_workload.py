@@ -34,7 +34,10 @@ def lines(df: DataFrame, *columns, sep: str) -> DataFrame:
 
 
 def _bag_files(w: Workload, name: str, file, compression: str) -> str:
-    """Term-frequency files, one per source and language, each with one over-long word."""
+    """Term-frequency files, one per source and language, each with one over-long word.
+
+    A file is a folder of parts; its rows are salted over several tasks.
+    """
     counts = long_frame(w.bags, "source", "lang").groupBy("source", "lang", "wordform").agg(
         F.sum("frequency").alias("frequency"))
     long_word = w.bags.select("source", "lang").distinct().select(
@@ -42,7 +45,8 @@ def _bag_files(w: Workload, name: str, file, compression: str) -> str:
         F.lit(1).cast("long").alias("frequency"))
     rows = counts.unionByName(long_word).select(
         file.alias("file"), F.concat_ws("\t", "wordform", "frequency").alias("value"))
-    return files(w, name, lambda path: rows.repartition("file").write.partitionBy("file").option(
+    spread = rows.repartition(F.col("file"), F.pmod(F.xxhash64("value"), F.lit(4)))
+    return files(w, name, lambda path: spread.write.partitionBy("file").option(
         "compression", compression).text(path))
 
 
