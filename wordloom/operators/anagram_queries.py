@@ -10,6 +10,7 @@ from wordloom.operators.lexicon_queries import word_links
 from wordloom.operators.lookup import Words, for_words
 from wordloom.operators.paradigm_queries import morph_links
 from wordloom.operators.ranks import ranked
+from wordloom.scratch import stored
 
 
 # A longer confusion list is refused: it travels as one array.
@@ -132,12 +133,13 @@ def variants_by_length(model: Model) -> DataFrame:
 def anagram_variants(model: Model) -> DataFrame:
     """(anahash, variant_id, wordform): the words of each hash numbered from 0 by spelling.
 
-    Numbered over the whole vocabulary and shifted by the first number of the hash, so a large
-    anagram class is spread over tasks.
+    Numbered over the whole vocabulary and shifted by the first number of the hash.  The first
+    numbers are written, so that both sides of the join are freshly shuffled and adaptive
+    execution can split a large anagram class.
     """
     words = model.words.filter(F.col("anahash").isNotNull()).select("anahash", "wordform")
     rows = ranked(words, [F.col("anahash"), F.col("wordform")], "position")
-    first = rows.groupBy("anahash").agg(F.min("position").alias("first"))
+    first = stored(rows.groupBy("anahash").agg(F.min("position").alias("first")), "first")
     return rows.join(first, "anahash").select(
         "anahash", (F.col("position") - F.col("first")).alias("variant_id"), "wordform")
 

@@ -30,3 +30,8 @@ def for_words(df: DataFrame, words: Words, column: str = "wordform") -> DataFram
     if len(words) > MAX_LISTED:
         raise ValueError(f"{len(words)} words listed; pass a DataFrame of words instead")
     return df.filter(F.col(column).isin(words))
+
+
+def is_listed(words: Words) -> bool:
+    """True for one word or a list, of which there are at most `MAX_LISTED`."""
+    return words is not None and not isinstance(words, DataFrame)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.text import effective_year, paradigm_code
 from wordloom.model import Model
 from wordloom.operators.corpus_queries import word_in_corpora_over_time, year_bound
-from wordloom.operators.lookup import Words, for_words
+from wordloom.operators.lookup import Words, for_words, is_listed
 
 CODES = ["Z", "Y", "X", "W"]
 # The type code of a lemma, and of the forms listed with it.
@@ -246,15 +246,19 @@ def paradigm_network(
 
     The `groups` nearest X values become hubs, each linked to its `lemmas` most frequent
     lemmas; a hub with one lemma stands for it.  The hub of the word's own X carries the word
-    and is linked to all other hubs.  The top-k windows are limited before their shuffle.
+    and is linked to all other hubs.  Roots and chosen groups of listed words are at most
+    1000 and 1000 x `groups` rows and are broadcast, so lemmas are not shuffled by X and each
+    task keeps only its own top rows before the window.
     """
+    small = F.broadcast if is_listed(words) else (lambda df: df)
     root = for_words(model.paradigms, words).groupBy(
         F.col("wordform").alias("lookup_word")
     ).agg(F.min_by(F.struct(*CODES), "paradigm_id").alias("r")).select(
         "lookup_word", F.col("r.Z").alias("Z"), F.col("r.Y").alias("Y"),
         F.col("r.X").alias("root_x"), F.col("r.W").alias("root_w"))
     candidates = _with_frequency(
-        model.paradigms.filter(F.col("word_type_code") == LEMMA).join(root, ["Z", "Y"]), model,
+        model.paradigms.filter(F.col("word_type_code") == LEMMA).join(
+            small(root), ["Z", "Y"]), model,
     ).select(
         *root.columns, "X", "W", "wordform",
         F.coalesce("frequency", F.lit(0).cast("long")).alias("frequency"))
@@ -266,7 +270,7 @@ def paradigm_network(
     )
     frequent = Window.partitionBy("lookup_word", "X").orderBy(F.desc("frequency"), "wordform")
     top = (
-        candidates.join(chosen, ["lookup_word", "X"])
+        candidates.join(small(chosen), ["lookup_word", "X"])
         .withColumn("place", F.row_number().over(frequent)).filter(F.col("place") <= lemmas)
     )
     hub_id = F.format_string("Z%dY%dX%d", "Z", "Y", "X")

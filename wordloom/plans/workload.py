@@ -175,9 +175,11 @@ class Workload:
     def variant_pairs(self) -> DataFrame:
         """Each word with the most frequent word of its anagram class, if that is another."""
         best = F.min_by("wordform", F.struct(-F.col("frequency"), F.col("wordform")))
-        leaders = self.vocabulary.groupBy("anahash").agg(
+        # Written first: a join of two freshly shuffled sides is one that adaptive execution
+        # can split where an anagram class is large.
+        leaders = stored(self.vocabulary.groupBy("anahash").agg(
             best.alias("correction_candidate"), F.count(F.lit(1)).alias("size")
-        ).filter(F.col("size") > 1).drop("size")
+        ).filter(F.col("size") > 1).drop("size"), "leaders")
         pairs = self.vocabulary.join(leaders, "anahash").filter(
             F.col("wordform") != F.col("correction_candidate"))
         return stored(pairs.select(
@@ -223,7 +225,7 @@ class Workload:
         })
         codes = ["Z", "Y", "X", "W"]
         best = F.min_by("wordform", F.struct(-F.col("frequency"), F.col("wordform")))
-        lemmas = w.groupBy(*codes).agg(best.alias("lemma"))
+        lemmas = stored(w.groupBy(*codes).agg(best.alias("lemma")), "lemmas")
         n = F.length("wordform")
         is_lemma = F.col("wordform") == F.col("lemma")
         code = F.concat(
