@@ -14,19 +14,25 @@ def _rows() -> Column:
     return F.count(F.lit(1))
 
 
-def _named_members(model: Model, corpus_name: str | None = None) -> DataFrame:
-    """(document_id, name): the corpora each document belongs to."""
-    corpora = model.corpora
-    if corpus_name is not None:
-        corpora = corpora.filter(F.col("name") == corpus_name)
-    return model.corpus_documents.join(corpora, "corpus_id").select("document_id", "name")
+def _in_corpora(rows: DataFrame, model: Model, corpus_name: str | None = None) -> DataFrame:
+    """Rows with a document, once per corpus of the document, with the corpus `name`.
+
+    The small tables join one after the other, or by a semi join: the size Spark estimates for
+    an inner join of two of them is their product, and would make it broadcast the rows.
+    """
+    if corpus_name is None:
+        return rows.join(model.corpus_documents, "document_id").join(
+            model.corpora, "corpus_id").drop("corpus_id")
+    corpus = model.corpora.filter(F.col("name") == corpus_name)
+    members = model.corpus_documents.join(corpus, "corpus_id", "left_semi")
+    return rows.join(members.select("document_id"), "document_id").withColumn(
+        "name", F.lit(corpus_name))
 
 
 def word_in_corpora(model: Model, words: Words = None) -> DataFrame:
     """Per word and corpus: rows of documents and occurrences."""
     return (
-        for_words(model.attestations, words)
-        .join(_named_members(model), "document_id")
+        _in_corpora(for_words(model.attestations, words), model)
         .groupBy("wordform", "name")
         .agg(_rows().alias("document_frequency"), F.sum("frequency").alias("term_frequency"))
     )
@@ -34,11 +40,9 @@ def word_in_corpora(model: Model, words: Words = None) -> DataFrame:
 
 def word_in_corpus_over_time(model: Model, corpus_name: str, words: Words = None) -> DataFrame:
     """Per word and publication year (which may be unknown) within one corpus."""
-    dated = _named_members(model, corpus_name).join(
-        model.documents.select("document_id", "pub_year"), "document_id")
+    members = _in_corpora(for_words(model.attestations, words), model, corpus_name)
     return (
-        for_words(model.attestations, words)
-        .join(dated, "document_id")
+        members.join(model.documents.select("document_id", "pub_year"), "document_id")
         .groupBy("wordform", "pub_year")
         .agg(_rows().alias("document_frequency"), F.sum("frequency").alias("term_frequency"))
     )
@@ -71,10 +75,9 @@ def word_in_corpora_over_time(
         documents = documents.filter(F.col("pub_year") >= start)
     if end is not None:
         documents = documents.filter(F.col("pub_year") <= end)
+    dated = for_words(model.attestations, words).join(documents, "document_id")
     yearly = (
-        for_words(model.attestations, words)
-        .join(documents, "document_id")
-        .join(_named_members(model), "document_id")
+        _in_corpora(dated, model)
         .groupBy("wordform", "name", F.col("pub_year").alias("year"))
         .agg(
             _rows().alias("document_frequency"), F.sum("frequency").alias("term_frequency"),
@@ -118,10 +121,10 @@ def series_metadata(
 
 def relative_series(model: Model, words: Words = None) -> DataFrame:
     """Occurrences per hundred words, per word, corpus and publication year, known or not."""
+    dated = for_words(model.attestations, words).join(
+        model.documents.select("document_id", "word_count", "pub_year"), "document_id")
     return (
-        for_words(model.attestations, words)
-        .join(model.documents.select("document_id", "word_count", "pub_year"), "document_id")
-        .join(_named_members(model), "document_id")
+        _in_corpora(dated, model)
         .groupBy("wordform", "name", "pub_year")
         .agg(
             _rows().alias("document_frequency"), F.sum("frequency").alias("term_frequency"),
@@ -150,15 +153,14 @@ def word_frequency_per_year(
     if corpus_id is not None:
         members = members.filter(F.col("corpus_id") == corpus_id)
     copies = members.groupBy("document_id").agg(_rows().alias("copies"))
+    dated = for_words(model.attestations, words).join(documents, "document_id")
     if corpus_id is not None:
-        documents = documents.join(copies, "document_id")
+        dated = dated.join(copies, "document_id")
     else:
-        documents = documents.join(copies, "document_id", "left").withColumn(
+        dated = dated.join(copies, "document_id", "left").withColumn(
             "copies", F.coalesce("copies", F.lit(1).cast("long")))
     sums = (
-        for_words(model.attestations, words)
-        .join(documents, "document_id")
-        .groupBy("wordform", "year")
+        dated.groupBy("wordform", "year")
         .agg(
             F.sum(F.col("frequency") * F.col("copies")).alias("f"),
             F.sum(F.col("word_count") * F.col("copies")).alias("n"),
@@ -278,8 +280,7 @@ def lexicon_coverage(model: Model, corpus_name: str, lexicon_name: str) -> DataF
 
 def words_of_corpora(model: Model) -> DataFrame:
     """Distinct (wordform, corpus name)."""
-    return model.attestations.join(_named_members(model), "document_id").select(
-        "wordform", "name").distinct()
+    return _in_corpora(model.attestations, model).select("wordform", "name").distinct()
 
 
 def count_unique_words_per_corpus(model: Model, corpus_name: str | None = None) -> DataFrame:
@@ -288,7 +289,7 @@ def count_unique_words_per_corpus(model: Model, corpus_name: str | None = None)
     Summed per word first: the second aggregation counts rows and needs no distinct.
     """
     per_word = (
-        model.attestations.join(_named_members(model, corpus_name), "document_id")
+        _in_corpora(model.attestations, model, corpus_name)
         .groupBy("name", "wordform").agg(F.sum("frequency").alias("f"))
     )
     return per_word.groupBy("name").agg(
