@@ -263,40 +263,51 @@ def paradigm_network(
         *root.columns, "X", "W", "wordform",
         F.coalesce("frequency", F.lit(0).cast("long")).alias("frequency"))
     nearest = Window.partitionBy("lookup_word").orderBy(F.abs(F.col("X") - F.col("root_x")), "X")
+    own = F.col("X") == F.col("root_x")
     chosen = (
         candidates.select("lookup_word", "X", "root_x").distinct()
-        .withColumn("near", F.row_number().over(nearest))
-        .filter(F.col("near") <= groups).select("lookup_word", "X")
+        .withColumn("near", F.row_number().over(nearest)).filter(F.col("near") <= groups)
+        .withColumn("rooted", F.max(own).over(Window.partitionBy("lookup_word")))
+        .select("lookup_word", "X", "rooted")
     )
     frequent = Window.partitionBy("lookup_word", "X").orderBy(F.desc("frequency"), "wordform")
     top = (
         candidates.join(small(chosen), ["lookup_word", "X"])
         .withColumn("place", F.row_number().over(frequent)).filter(F.col("place") <= lemmas)
     )
-    hub_id = F.format_string("Z%dY%dX%d", "Z", "Y", "X")
-    hubs = top.groupBy(*root.columns, "X").agg(
-        F.sum("frequency").alias("frequency"), _rows().alias("members"),
-        F.min_by(F.struct("W", "wordform"), "place").alias("first"),
-    ).withColumns({"id": hub_id, "own": F.col("X") == F.col("root_x")})
-    several = hubs.filter(F.col("members") > 1).select("lookup_word", "X")
-    word_nodes = top.join(several, ["lookup_word", "X"], "left_semi").select(
-        "lookup_word", F.col("wordform").alias("id"), "Z", "Y", "X", "W",
-        F.lit("w").alias("type"), "frequency", "wordform", hub_id.alias("hub"))
-    hub_nodes = hubs.select(
-        "lookup_word", "id", "Z", "Y", "X",
-        F.when(F.col("own"), F.col("root_w")).otherwise(F.col("first.W")).alias("W"),
-        F.lit("x").alias("type"), "frequency",
-        F.when(F.col("own"), F.col("lookup_word")).otherwise(F.col("first.wordform"))
-        .alias("wordform"),
-    )
-    root_id = F.format_string("Z%dY%dX%d", "Z", "Y", "root_x")
-    owned = hubs.filter("own").select("lookup_word")
-    links = word_nodes.select(
-        "lookup_word", F.col("id").alias("source"), F.col("hub").alias("target"),
-        F.lit("XW").alias("type"),
-    ).unionByName(
-        hubs.filter("not own").join(owned, "lookup_word", "left_semi").select(
-            "lookup_word", F.col("id").alias("source"), root_id.alias("target"),
-            F.lit("XX").alias("type"))
-    ).withColumn("id", F.concat("source", "target"))
-    return word_nodes.drop("hub").unionByName(hub_nodes), links
+    # A hub has at most `lemmas` members, so they fit in an array.
+    member = F.struct("place", "wordform", "W", F.col("frequency").alias("f"))
+    hubs = top.groupBy(*root.columns, "X", "rooted").agg(
+        F.sum("frequency").alias("frequency"),
+        F.sort_array(F.collect_list(member)).alias("members"),
+    ).select("*", F.format_string("Z%dY%dX%d", "Z", "Y", "X").alias("hub"), own.alias("own"))
+    shown = F.filter("members", lambda m: F.size("members") > 1)
+
+    def node(name, W, kind: str, frequency, wordform):
+        return F.struct(
+            name.alias("id"), W.alias("W"), F.lit(kind).alias("type"),
+            frequency.alias("frequency"), wordform.alias("wordform"))
+
+    first = F.get("members", F.lit(0))
+    hub_node = node(
+        F.col("hub"), F.when(F.col("own"), F.col("root_w")).otherwise(first["W"]), "x",
+        F.col("frequency"),
+        F.when(F.col("own"), F.col("lookup_word")).otherwise(first["wordform"]))
+    word_nodes = F.transform(
+        shown, lambda m: node(m["wordform"], m["W"], "w", m["f"], m["wordform"]))
+    nodes = hubs.select(
+        "lookup_word", "Z", "Y", "X", F.inline(F.concat(word_nodes, F.array(hub_node))))
+
+    def link(source, kind: str):
+        return F.struct(source.alias("source"), F.lit(kind).alias("type"))
+
+    to_hub = F.transform(shown, lambda m: link(m["wordform"], "XW"))
+    to_root = F.filter(
+        F.array(link(F.col("hub"), "XX")), lambda _: F.col("rooted") & ~F.col("own"))
+    root_hub = F.format_string("Z%dY%dX%d", "Z", "Y", "root_x").alias("root_hub")
+    links = hubs.select(
+        "lookup_word", "hub", root_hub, F.inline(F.concat(to_hub, to_root)),
+    ).withColumn("target", F.when(F.col("type") == "XW", F.col("hub")).otherwise(
+        F.col("root_hub")))
+    return nodes, links.select(
+        "lookup_word", "source", "target", "type", F.concat("source", "target").alias("id"))
