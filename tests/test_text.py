@@ -99,10 +99,10 @@ def test_bags_against_counter(frame):
 
 
 def test_word_lists_keep_case(frame):
-    rows = frame([(1, ["A", "a", "A"]), (2, [])], "doc INT, words ARRAY<STRING>")
+    rows = frame([(1, ["A", "a", "A"]), (2, []), (3, None)], "doc INT, words ARRAY<STRING>")
     bags = bags_of_word_lists(rows)
     assert rows_of(long_frame(bags, "doc")) == [(1, "A", 2), (1, "a", 1)]
-    assert rows_of(bags, "doc", "word_count") == [(1, 3), (2, 0)]
+    assert rows_of(bags, "doc", "word_count") == [(1, 3), (2, 0), (3, 0)]
 
 
 def test_dictionary(frame):

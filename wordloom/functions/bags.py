@@ -47,13 +47,13 @@ def bags_of_texts(
 ) -> DataFrame:
     """One row per text: its other columns, `word_count` and `bag`."""
     df = texts.withColumn("_tokens", tokens(F.col(text), max_length)).drop(text)
-    df = df.withColumn("word_count", F.size("_tokens").cast("long"))
+    df = df.withColumn("word_count", F.coalesce(F.size("_tokens"), F.lit(0)).cast("long"))
     return count_in_rows(df, "_tokens")
 
 
 def bags_of_word_lists(lists: DataFrame, words: str = "words") -> DataFrame:
     """One row per word list, case kept: its other columns, `word_count` and `bag`."""
-    df = lists.withColumn("word_count", F.size(words).cast("long"))
+    df = lists.withColumn("word_count", F.coalesce(F.size(words), F.lit(0)).cast("long"))
     return count_in_rows(df, words)
 
 

@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wordloom.model import Model
 from wordloom.operators import corpora, lexica, words
@@ -54,8 +53,7 @@ def _corpus(layout: str) -> Loader:
 
 def _paradigms(spark, paths, model):
     rows = paradigm_files.read_paradigm_file(spark, paths)
-    empty = replace(model, paradigms=model.paradigms.limit(0))
-    return corpora.add_paradigms(empty, rows, first_paradigm_id=1)
+    return corpora.add_paradigms(model, rows, first_paradigm_id=1)
 
 
 def _frequencies(spark, paths, model):
@@ -134,4 +132,4 @@ def ingest(
 
 def model_rows(model: Model, table: str, emptied: bool) -> DataFrame:
     rows = getattr(model, table)
-    return rows.filter(F.lit(False)) if emptied else rows
+    return corpora.empty(rows) if emptied else rows
