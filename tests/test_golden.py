@@ -188,3 +188,17 @@ def test_series_metadata_and_nesting(golden):
 def test_paradigm_size_checks_its_argument(golden):
     with pytest.raises(ValueError):
         paradigms.paradigm_size(golden, "W")
+
+
+def test_lookups_as_a_frame(golden, frame):
+    """A DataFrame of words gives the same rows as a list."""
+    asked = frame([("aandacht",), ("dromedaris",), ("none",)], "anything STRING")
+    listed = ["aandacht", "dromedaris", "none"]
+    for query in (
+        corpora.word_frequency_per_year, corpora.word_in_corpora, paradigms.lemmas_for_wordform,
+        paradigms.variants_of_word, anagrams.word_card,
+        lambda m, w: paradigms.paradigm_network(m, w)[0],
+        lambda m, w: paradigms.paradigm_network(m, w)[1],
+    ):
+        found = rows_of(query(golden, asked))
+        assert found and found == rows_of(query(golden, listed))

@@ -135,7 +135,7 @@ def relative_series(model: Model, words: Words = None) -> DataFrame:
     )
 
 
-def _dated(model: Model) -> DataFrame:
+def dated_documents(model: Model) -> DataFrame:
     return model.documents.select(
         "document_id", "word_count", effective_year().alias("year"))
 
@@ -148,7 +148,7 @@ def word_frequency_per_year(
     The denominator is the size of the documents that contain the word.  A document counts
     once for every corpus it is in: that number is multiplied in, not produced as rows.
     """
-    documents = _dated(model).filter(F.col("year").isNotNull())
+    documents = dated_documents(model).filter(F.col("year").isNotNull())
     members = model.corpus_documents
     if corpus_id is not None:
         members = members.filter(F.col("corpus_id") == corpus_id)
@@ -220,7 +220,7 @@ def corpus_size(model: Model) -> DataFrame:
 
 def word_count_per_year(model: Model) -> DataFrame:
     """Words per corpus and effective year."""
-    return _sizes_by_corpus(_dated(model), model, "year").select(
+    return _sizes_by_corpus(dated_documents(model), model, "year").select(
         "name", "year", "sum_word_count").orderBy("year", "name")
 
 

@@ -27,7 +27,7 @@ def paradigms_of_word(model: Model, words: Words) -> DataFrame:
     return for_words(model.paradigms, words).select("wordform", *CODES, "word_type_code")
 
 
-def _asked(model: Model, words: Words) -> DataFrame:
+def paradigms_asked(model: Model, words: Words) -> DataFrame:
     """(lookup_word, Z, Y, X, W): each paradigm of a looked-up word once."""
     return for_words(model.paradigms, words).select(
         F.col("wordform").alias("lookup_word"), *CODES).distinct()
@@ -43,7 +43,7 @@ def morph_links(model: Model, words: Words) -> DataFrame:
 def lemmas_for_wordform(model: Model, words: Words) -> DataFrame:
     """The lemma rows of a word's paradigms."""
     lemmas = model.paradigms.filter(F.col("word_type_code") == LEMMA)
-    return lemmas.join(_asked(model, words), CODES).select(
+    return lemmas.join(paradigms_asked(model, words), CODES).select(
         "lookup_word", "paradigm_id", "wordform", "W", "X", "Y", "Z")
 
 
@@ -126,7 +126,7 @@ def variants_of_word(
     A form without a series in the period has one row with NULLs there.  One plan for all
     words, paradigms, forms and years.
     """
-    forms = paradigm_variants(model, _asked(model, words)).select(
+    forms = paradigm_variants(model, paradigms_asked(model, words)).select(
         "lookup_word", paradigm_code().alias("paradigm_code"), "wordform", "word_type_code",
         "word_type_number", "V", "anahash", "frequency",
     )

@@ -249,7 +249,7 @@ def word_count_per_year(w: Workload):
     SELECT document_id, title, language, word_count, pub_year, year_from, year_to, year
     FROM m_dated""")
 def effective_years(w: Workload):
-    return q._dated(w).select("document_id", "year").join(w.documents.select(
+    return q.dated_documents(w).select("document_id", "year").join(w.documents.select(
         "document_id", "title", "language", "word_count", "pub_year", "year_from", "year_to",
     ), "document_id")
 

@@ -140,7 +140,7 @@ FORM_SERIES = FORMS + """,
 
 @query(FORMS + "SELECT * FROM forms")
 def paradigm_variants(w: Workload):
-    return q.paradigm_variants(w, q._asked(w, LOOKUPS)).select(
+    return q.paradigm_variants(w, q.paradigms_asked(w, LOOKUPS)).select(
         "lookup_word", q.paradigm_code().alias("paradigm_code"), "wordform", "word_type_code",
         "word_type_number", "V", "anahash", "frequency")
 
