@@ -13,9 +13,11 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,11 +27,13 @@ from tokenizers import pre_tokenizers
 # Fixed value: the pattern that the public byte-level vocabulary is used with.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 40
+SHIFT = 32
 LONG = 256
 PIECES, WORD_IDS = 400_000, 200_000
 # From here on Unicode versions differ in what a letter is; the public library decides.
 NEWER = "\u0500"
 
+NO_IDS = np.array([], np.int32)
 _RUN_OF_SPACE = re.compile(r"\s\s")
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[str, Vocabulary] = {}
@@ -77,15 +81,15 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.ids = {
             raw(t): i for t, i in model["vocab"].items() if t not in self.special}
-        # A merge by what it makes: its rank, and where its two parts meet.
-        self.ranks: dict[bytes, int] = {}
-        self.middles: list[int] = []
+        self.single = [self.ids.get(bytes([b])) for b in range(256)]
+        # The rank of a merge by the ids of its two parts, and the id it makes by its rank.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for merge in model["merges"]:
             left, right = map(raw, merge.split(" ") if isinstance(merge, str) else merge)
-            if left + right in self.ranks:
-                raise ValueError(f"two merges make one token: {merge}")
-            self.ranks[left + right] = len(self.middles)
-            self.middles.append(len(left))
+            self.ranks.setdefault(
+                self.ids[left] << SHIFT | self.ids[right], len(self.made))
+            self.made.append(self.ids[left + right])
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.bytes = [b""] * size
         for token, i in self.ids.items():
@@ -98,7 +102,8 @@ class Vocabulary:
         self.library_words = pre_tokenizers.ByteLevel(add_prefix_space=False)
         # Tokens that the merges of their own bytes lead to.
         self.whole = {
-            t: (i,) for t, i in self.ids.items() if len(t) <= LONG and len(self._scan(t)) == 1}
+            t: _packed([i]) for t, i in self.ids.items()
+            if len(t) <= LONG and len(self._scan(t)) == 1}
         self.word_ids = Bounded(self.merge, WORD_IDS)
         self.after_space = Bounded(self._after_space, PIECES)
 
@@ -109,42 +114,37 @@ class Vocabulary:
             _loaded[path] = Vocabulary(path)
         return _loaded[path]
 
-    def merge(self, letters: str) -> tuple[int, ...]:
-        """Ids of one word."""
+    def merge(self, letters: str) -> bytes:
+        """Ids of one word, packed."""
         word = letters.encode()
         whole = self.whole.get(word)
         if whole is not None:
             return whole
-        parts = self._scan(word) if len(word) <= LONG else self._heap(word)
-        return tuple([self.ids[p] for p in parts])
-
-    def _rank(self, word: bytes, start: int, middle: int, end: int) -> int:
-        found = self.ranks.get(word[start:end], NEVER)
-        return found if found != NEVER and self.middles[found] == middle - start else NEVER
-
-    def _scan(self, word: bytes) -> list[bytes]:
-        known, middles = self.ranks.get, self.middles
-        bounds = list(range(len(word) + 1))
-        ranks = [known(word[i:i + 2], NEVER) for i in range(len(word) - 1)]
+        return _packed(self._scan(word) if len(word) <= LONG else self._heap(word))
+
+    def _scan(self, word: bytes) -> list[int]:
+        """Ids of a short word: `parts` are those between its boundaries, `ranks` the merge
+        ranks of adjacent parts; a merge deletes a boundary and renews two ranks at most."""
+        known, made = self.ranks.get, self.made
+        parts = [self.single[b] for b in word]
+        ranks = [known(a << SHIFT | b, NEVER) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == NEVER:
                 break
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
-            start, middle = bounds[i], bounds[i + 1]
+            parts[i] = whole = made[least]
+            del parts[i + 1], ranks[i]
             if i < len(ranks):
-                after = known(word[start:bounds[i + 2]], NEVER)
-                ranks[i] = after if after == NEVER or middles[after] == middle - start else NEVER
+                ranks[i] = known(whole << SHIFT | parts[i + 1], NEVER)
             if i:
-                first = bounds[i - 1]
-                before = known(word[first:middle], NEVER)
-                ranks[i - 1] = (
-                    before if before == NEVER or middles[before] == start - first else NEVER)
-        return [word[a:b] for a, b in zip(bounds, bounds[1:])]
+                ranks[i - 1] = known(parts[i - 1] << SHIFT | whole, NEVER)
+        return parts
 
-    def _heap(self, word: bytes) -> list[bytes]:
+    def _heap(self, word: bytes) -> list[int]:
+        """Ids of a long word: the same merges, the least rank taken from a heap."""
         size = len(word)
+        parts = [self.single[b] for b in word]
         ends = list(range(1, size + 1))
         before = list(range(-1, size - 1))
         heap: list[tuple[int, int, int, int]] = []
@@ -152,28 +152,28 @@ class Vocabulary:
         def offer(a: int) -> None:
             if a >= 0 and ends[a] and ends[a] < size:
                 b = ends[a]
-                found = self._rank(word, a, b, ends[b])
-                if found != NEVER:
+                found = self.ranks.get(parts[a] << SHIFT | parts[b])
+                if found is not None:
                     heapq.heappush(heap, (found, a, b, ends[b]))
 
         for a in range(size - 1):
             offer(a)
         while heap:
-            _, a, b, end = heapq.heappop(heap)
+            rank, a, b, end = heapq.heappop(heap)
             if ends[a] != b or ends[b] != end:
                 continue
-            ends[a], ends[b] = end, 0
+            parts[a], ends[a], ends[b] = self.made[rank], end, 0
             if end < size:
                 before[end] = a
             offer(before[a])
             offer(a)
-        parts, a = [], 0
+        ids, a = [], 0
         while a < size:
-            parts.append(word[a:ends[a]])
+            ids.append(parts[a])
             a = ends[a]
-        return parts
+        return ids
 
-    def _piece(self, piece: str, lead: str = "") -> tuple[int, ...]:
+    def _piece(self, piece: str, lead: str = "") -> bytes:
         """Ids of a piece after `lead`, which is empty or a space."""
         if piece.isascii() or max(piece) < NEWER:
             if piece.isalpha():
@@ -184,35 +184,35 @@ class Vocabulary:
         else:
             whole = lead + piece
             words = [whole[a:b] for _, (a, b) in self.library_words.pre_tokenize_str(whole)]
-        return tuple(chain.from_iterable(map(self.word_ids.__getitem__, words)))
+        return b"".join(map(self.word_ids.__getitem__, words))
 
-    def _after_space(self, piece: str) -> tuple[int, ...]:
+    def _after_space(self, piece: str) -> bytes:
         return self._piece(piece, " ") if piece else self.word_ids[" "]
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         if _RUN_OF_SPACE.search(text):
             pieces = _BETWEEN_WORDS.split(text)
         else:
             pieces = text.split(" ")
-        ids = list(self._piece(pieces[0])) if pieces[0] else []
-        ids.extend(chain.from_iterable(map(self.after_space.__getitem__, islice(pieces, 1, None))))
-        return ids
+        first = self._piece(pieces[0]) if pieces[0] else b""
+        return first + b"".join(map(self.after_space.__getitem__, islice(pieces, 1, None)))
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; the string of a special token gives that token."""
-        ids: list[int] = []
-        for part in self.specials.split(text) if self.specials else [text]:
-            if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                ids += self._plain(part)
-        return ids
+        found = [
+            _packed([self.special[part]]) if part in self.special else self._plain(part)
+            for part in (self.specials.split(text) if self.specials else [text]) if part]
+        return np.frombuffer(b"".join(found), "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included; broken UTF-8 becomes U+FFFD."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def _batches(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, so that the ids of a few texts are held at a time."""
     for start in range(0, batch.num_rows, rows):
@@ -231,8 +231,11 @@ def encoded(
         for batch in batches:
             for some in _batches(batch):
                 ids = [known.encode(t.as_py() or "") for t in some.column(1)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.concatenate([NO_IDS, *ids])))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+                    [some.column(0), lists], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
