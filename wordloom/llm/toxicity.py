@@ -38,6 +38,8 @@ SAMPLE = 20_000
 #: all documents that hold it, the share PURE must be toxic.  At most MOST_STEMS are taken.
 LEAST_SUPPORT, LEAST_SHARE, LEAST_CONTEXTS, PURE, MOST_STEMS = 5, 0.002, 5, 0.95, 5_000
 SHORTEST, LONGEST = 4, 12
+#: The constant of a model without labelled rows of both kinds: nothing counts as toxic.
+UNTAUGHT = -3.0
 SCOPE = 3
 
 # Fixed lists of words.
@@ -148,7 +150,8 @@ class Grammar:
             state = self.following[state][symbol]
         if not hits:
             return None
-        symbol, (_, negated, reported) = max(hits, key=lambda h: (h[0], h[1][1] == "", h[1][2] == ""))
+        symbol, (_, negated, reported) = max(
+            hits, key=lambda hit: (hit[0], hit[1][1] == "", hit[1][2] == ""))
         return self.number[
             SYMBOLS[symbol], "targeted" if addressed else "bare", negated, reported]
 
@@ -295,8 +298,8 @@ def fit(rows: DataFrame, stems: list[str], rounds: int = 30, ridge: float = 0.05
     told = rows.select("text", F.col("toxic").cast("int")).mapInArrow(
         run, "counts binary, toxic int").groupBy("counts", "toxic").count().collect()
     size = len(PATTERNS) + 1
-    if not told:
-        return [0.0] * size
+    if {r["toxic"] for r in told} != {0, 1}:
+        return [0.0] * (size - 1) + [UNTAUGHT]
     told.sort(key=lambda r: (bytes(r["counts"]), r["toxic"]))
     x = features(np.array([np.frombuffer(r["counts"], np.int32) for r in told], float))
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -349,7 +352,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     A null or empty text scores like one without any pattern.  Labels other than 0 and 1 and
     labels of null ids teach nothing; of several labels of an id the largest counts.  Without
-    labelled rows of both kinds the lexicon is empty.  An empty table gives no rows; other
+    labelled rows of both kinds the lexicon is empty and no text counts as toxic.  An empty table gives no rows; other
     columns are not looked at.
     """
     model = train(docs, labels, id_col, text_col, label_col)
