@@ -5,9 +5,9 @@ scaled to it; then the largest inner product is the smallest distance.  The vect
 blocks by a hash.  A block's index has, for each of `PROJECTIONS` random directions, the
 sorted projections of its vectors and the rank of each vector there.  A query opens a window
 around its own projection in every array; a vector in at least `COLLIDE` of the windows is a
-candidate.  Windows widen (virtual rehashing: the arrays stay as they are) until a block has
-ENOUGH of its vectors, and `LEAST * wanted`, as candidates or no vector is left; those are verified with the original
-vectors in double precision.
+candidate.  Windows widen (virtual rehashing: the arrays stay as they are) until a share
+`ENOUGH` of the block, and `LEAST * wanted` vectors, are candidates, or no vector is left; those are
+verified with the original vectors in double precision.
 
 Every query meets every block, in groups of one block and at most about `QUERIES` queries,
 so a task holds a few megabytes; of each such group only the best `wanted` go on.
@@ -117,11 +117,12 @@ def nearest(
 
     def build(rows: pa.Table) -> pa.Table:
         size = rows.column("size")[0].as_py()
-        ids = rows.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        made = index_block(
-            ids[order], _matrix(rows.column("vector"), size)[order],
-            rows.column("longest")[0].as_py())
+        ids, vectors = rows.column("id").to_numpy(), _matrix(rows.column("vector"), size)
+        order = np.lexsort((*vectors.T, ids))
+        ids, vectors = ids[order], vectors[order]
+        again = (ids[1:] == ids[:-1]) & (vectors[1:] == vectors[:-1]).all(axis=1)
+        once = np.append(True, ~again)
+        made = index_block(ids[once], vectors[once], rows.column("longest")[0].as_py())
         return pa.table({
             "size": pa.array([size], pa.int32()),
             "block": rows.column("block").slice(0, 1),
