@@ -67,17 +67,13 @@ class Vocabulary:
         self.tokens = tokens
         self.total = tokens + 0.5 * (distinct + 1)
         self.first_class = 1 + len(words)
-        self.size = self.first_class + BUCKETS
+        self.classes = len(class_mass)
         self.counts = np.array([ends, *counts], np.float64)
         mass = np.concatenate([self.counts + 0.5, class_mass + 0.5])
         self.log_mass = np.log10(mass / self.total)
         self.share = mass / mass.sum()
 
 
-def _class_of(word: bytes) -> int:
-    return zlib.crc32(word) % BUCKETS
-
-
 def learn_vocabulary(rows: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The symbols, and the table `(word, n)` of all training words."""
     training = rows.filter(~F.col("held_out"))
@@ -87,7 +83,6 @@ def learn_vocabulary(rows: DataFrame) -> tuple[Vocabulary, DataFrame]:
     # TOP rows at most.
     top = counts.orderBy(F.desc("n"), "word").limit(TOP).toArrow()
     words, ns = top.column("word").to_pylist(), top.column("n").to_pylist()
-    known = set(words)
     last = (ns[-1], words[-1]) if words else (0, b"")
     rare = counts.filter(
         (F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > F.lit(last[1]))))
@@ -96,7 +91,6 @@ def learn_vocabulary(rows: DataFrame) -> tuple[Vocabulary, DataFrame]:
     class_mass = np.zeros(BUCKETS)
     for row in mass:
         class_mass[row["class"]] = row["mass"]
-    assert len(known) == len(words)
     vocabulary = Vocabulary(
         words, ns, ends, total[1] + ends, total[0] + (ends > 0), class_mass)
     return vocabulary, counts
@@ -109,7 +103,7 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     top words and `times` how often each occurs.  `key` tells the rows apart.
     """
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary.words)
-    first = vocabulary.first_class
+    first, classes = vocabulary.first_class, vocabulary.classes
 
     def run(batches):
         symbol = {w: n + 1 for n, w in enumerate(sent.value)}
@@ -126,7 +120,7 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                         for at, number in enumerate(found):
                             if number is None:
                                 word = words[at]
-                                found[at] = first + _class_of(word)
+                                found[at] = first + zlib.crc32(word) % classes
                                 unknown[word] += 1
                     found.append(0)
                     symbols.append(np.array(found, "<u2").tobytes())

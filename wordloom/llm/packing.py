@@ -1,7 +1,7 @@
 """Hierarchical multi-length packing of documents into token sequences.
 
-Every input partition is packed for itself, so nothing is shuffled, and it is packed window by window
-of `buffer` tokens, so memory is bounded whatever a partition holds.  In a buffer:
+Every input partition is packed for itself, so nothing is shuffled, and buffer by buffer of
+`buffer` tokens, so memory is bounded whatever a partition holds.  In a buffer:
 
 1. a document of `top` tokens or more gives whole top windows, its rest is routed on;
 2. a piece is routed to the smallest tier (256, 512, 1024, 2048 tokens) that holds it;
@@ -204,7 +204,6 @@ def packed(
     def flush(names, bodies, ids_type, state) -> Iterator[pa.RecordBatch]:
         sequences = pack([len(b) for b in bodies])
         groups = steps([sum(p.length for p in s) for s in sequences])
-        rows: list[tuple] = []
         columns: list[list] = [[] for _ in range(len(fields) + 1)]
         for number, (sequence, group) in enumerate(zip(sequences, groups)):
             offset, size = 0, sum(p.length for p in sequence)
@@ -217,7 +216,6 @@ def packed(
                 offset += p.length
         state["sequence"] += len(sequences)
         state["step"] += max(groups, default=-1) + 1
-        del rows
         yield pa.RecordBatch.from_arrays(
             [pa.array(columns[0], ids_type),
              *(pa.array(c, kind) for c, (_, kind) in zip(columns[1:], fields))],
