@@ -1,7 +1,7 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Units are compared with templates: every line of a file (a header may stand anywhere), and the whole
-text of a licence file.  Inverse document frequencies of the templates' words are counted
+Units are compared with templates: every line of a file, as a header may stand anywhere,
+and the whole text of a licence file.  Inverse document frequencies of the templates' words are counted
 over all files; any other word weighs as one that a single file has.  A template's index
 words are its heaviest, so many that the rest of it cannot reach the threshold (Cauchy and
 Schwarz); a unit without an index word of any template cannot match and is not scored.
@@ -107,12 +107,18 @@ def licensed(
         lambda unit: F.arrays_overlap(words_of(unit), strong))
     rows = stored(
         rows.withColumn("dir", F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1))
-        .select("id", "path", "dir", is_file.alias("is_file"), F.array_distinct(units).alias("units")),
+        .select("id", "path", "dir", is_file.alias("is_file"),
+                F.array_distinct(units).alias("texts"))
+        .withColumn("units", F.transform("texts", lambda unit: F.sha2(unit, 256))),
         "licence-units")
 
-    unit = rows.select(F.explode("units").alias("unit")).distinct()
+    # A unit goes by its hash: a long text must not be repeated for each of its words.
+    unit = stored(
+        rows.select(F.explode("texts").alias("text")).distinct()
+        .select(F.sha2("text", 256).alias("unit"), "text"),
+        "units")
     words = (
-        unit.select("unit", F.explode(words_of(F.col("unit"))).alias("word"))
+        unit.select("unit", F.explode(words_of(F.col("text"))).alias("word"))
         .groupBy("unit", "word").agg(F.count("*").alias("times"))
         .join(F.broadcast(idfs), "word", "left")
         .withColumn("weight", F.col("times") * F.coalesce("idf", F.lit(rarest)))
@@ -133,7 +139,7 @@ def licensed(
         .select("unit", "template", "score"),
         "licence-matches")
 
-    key = stored(rows.withColumn("key", F.monotonically_increasing_id()), "licence-files")
+    key = stored(rows.drop("texts").withColumn("key", F.monotonically_increasing_id()), "licence-files")
     first = Window.partitionBy("key").orderBy(F.desc("score"), "template")
     own = stored(
         key.select("key", F.explode("units").alias("unit")).join(matched, "unit")
