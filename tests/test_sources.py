@@ -183,3 +183,51 @@ def test_glob_pattern():
 
     pattern = re.compile(files.glob_pattern("*1[0-9][0-9][0-9].clean"))
     assert pattern.match("a.1812.clean") and not pattern.match("a.18XX.clean")
+
+
+def test_relational_tables_by_name(spark, tmp_path):
+    """Other files beside the tables and tables that are folders; a missing one is an error."""
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from tests import golden_tables
+    from wordloom.schema import RELATIONAL
+    from wordloom.sources.tables import read_relational
+
+    golden_tables.write(tmp_path)
+    for n in range(40):
+        (tmp_path / f"a{n}.tsv").write_text("x\n1\n")
+    expected = read_relational(spark, str(tmp_path), RELATIONAL)
+    lexica = tmp_path / "lexica.tsv"
+    content = lexica.read_text()
+    lexica.unlink()
+    lexica.mkdir()
+    (lexica / "part-00000.csv").write_text(content)
+    found = read_relational(spark, str(tmp_path), RELATIONAL)
+    assert found.lexica.count() == len(content.strip().split("\n")) - 1
+    assert found.links.count() == expected.links.count()
+    (lexica / "part-00000.csv").unlink()
+    lexica.rmdir()
+    with pytest.raises(AnalysisException):
+        read_relational(spark, str(tmp_path))
+
+
+def test_long_dictionary_cell(spark, tmp_path):
+    from wordloom.sources.word_lists import COLUMNS_1995, read_dictionary_1995
+
+    long = "x" * 200_000
+    cells = [long, f'"{long};y"', "a\;b", '"', *["c"] * (len(COLUMNS_1995) - 4)]
+    (tmp_path / "d.txt").write_text(";".join(cells) + "\n")
+    row = read_dictionary_1995(spark, str(tmp_path)).first()
+    assert (row[0], row[1], row[2], row[3]) == (long, f"{long};y", r"a;b", '"')
+
+
+def test_files_are_left_out_when_the_scan_is_planned(spark, tmp_path):
+    from wordloom.sources.files import text_lines
+
+    for n in range(5):
+        (tmp_path / f"{n}.txt").write_text(f"{n}\n")
+    lines = text_lines(spark, str(tmp_path), glob="3.*")
+    assert [r["value"] for r in lines.collect()] == ["3"]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Filter") > plan.index("monotonically_increasing_id")

@@ -17,9 +17,14 @@ def analysed_words(db: Tables) -> DataFrame:
 
 def words_in_documents(db: Tables) -> DataFrame:
     """Every word with its analyses, attestations and documents, as far as it has them."""
+    analysed = db["wordforms"].join(db["analyses"], "wordform", "left").select(
+        "wordform", "analysis_id", "part_of_speech")
+    # The large table is the left side of an inner join, which can be split at a hot word.
+    attested = db["token_attestations"].join(analysed, "analysis_id")
+    without = analysed.join(
+        db["token_attestations"].select("analysis_id").distinct(), "analysis_id", "left_anti")
     return (
-        db["wordforms"].join(db["analyses"], "wordform", "left")
-        .join(db["token_attestations"], "analysis_id", "left")
+        attested.unionByName(without, allowMissingColumns=True)
         .join(db["documents"].drop("word_count"), "document_id", "left")
         .select("wordform", "analysis_id", "part_of_speech", "document_id", "persistent_id")
     )
@@ -65,6 +70,7 @@ def rows_with(table: DataFrame, column: str, present: bool = True) -> DataFrame:
     return table.filter(test)
 
 
-def random_rows(table: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
-    """A random sample of `n` rows."""
-    return table.orderBy(F.rand(seed)).limit(n)
+def random_rows(table: DataFrame, key: str, n: int = 10, seed: int = 0) -> DataFrame:
+    """A random sample of `n` rows; the same rows however the table is partitioned."""
+    drawn = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    return table.orderBy(drawn, key).limit(n)

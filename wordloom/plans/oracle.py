@@ -64,7 +64,7 @@ CTES = {
     "m_lexicon_words": """
         SELECT 1::BIGINT AS lexicon_id, wordform FROM m_benchmark_words
         UNION ALL SELECT (unicode(lang[1]) * 1000 + unicode(lang[2]))::BIGINT, wordform
-            FROM m_tokens GROUP BY lang, wordform HAVING count(DISTINCT doc_id) >= 3
+            FROM m_tokens GROUP BY lang, wordform
         UNION ALL SELECT DISTINCT 9, wordform_from FROM m_link_sources""",
     "m_variant_pairs": f"""
         SELECT v.wordform AS ocr_variant, l.wordform AS correction_candidate, v.anahash,
@@ -83,12 +83,12 @@ CTES = {
         FROM m_variant_pairs""",
     "m_coded": """
         SELECT wordform, frequency, length(wordform) AS n,
-               (unicode(wordform[1]) % 3 + 1)::BIGINT AS Z,
-               (unicode(wordform[2]) % 5 + 1)::BIGINT AS Y,
-               ((unicode(wordform[3]) * 31 + unicode(wordform[4])) % 10000)::BIGINT AS X,
-               ((unicode(wordform[1]) % 1000) * 100000 + (unicode(wordform[2]) % 1000) * 100
-                   + unicode(wordform[5]) % 100)::BIGINT AS W
-        FROM m_vocabulary WHERE length(wordform) >= 5""",
+               (greatest(unicode(wordform[1]), 0) % 3 + 1)::BIGINT AS Z,
+               (greatest(unicode(wordform[2]), 0) % 5 + 1)::BIGINT AS Y,
+               ((greatest(unicode(wordform[3]), 0) * 31 + greatest(unicode(wordform[4]), 0)) % 10000)::BIGINT AS X,
+               ((greatest(unicode(wordform[1]), 0) % 1000) * 100000 + (greatest(unicode(wordform[2]), 0) % 1000) * 100
+                   + greatest(unicode(wordform[5]), 0) % 100)::BIGINT AS W
+        FROM m_vocabulary""",
     "m_paradigms": """
         SELECT row_number() OVER (ORDER BY wordform) AS paradigm_id, Z, Y, X, W,
                CASE WHEN place = 1 THEN 1 ELSE 2 + n % 97 END AS V,

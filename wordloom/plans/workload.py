@@ -25,8 +25,6 @@ from wordloom.sources.tables import by_word
 
 BENCHMARK_LEXICON, VARIANT_LEXICON = 1, 9
 QUALITY_CORPUS = 1000
-MIN_DOCUMENTS_IN_LEXICON = 3
-PARADIGM_LETTERS = 5
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -159,9 +157,7 @@ class Workload:
     @cached_property
     def lexicon_words(self) -> DataFrame:
         language_words = (
-            long_frame(self.bags, "lang").groupBy("lang", "wordform")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") >= MIN_DOCUMENTS_IN_LEXICON)
+            long_frame(self.bags, "lang").select("lang", "wordform").distinct()
             .select(language_number().alias("lexicon_id"), "wordform"))
         variant_words = self.link_sources.select(
             F.lit(VARIANT_LEXICON).cast("long").alias("lexicon_id"),
@@ -209,15 +205,15 @@ class Workload:
 
     @cached_property
     def coded_words(self) -> DataFrame:
-        """(wordform, code): every long word with its paradigm code.
+        """(wordform, code): every word with its paradigm code.
 
-        The code is made of the first letters; the most frequent word of a paradigm is its
+        The code is made of the first five letters, a missing one counting 0; the most frequent word of a paradigm is its
         lemma.
         """
         def letter(i: int) -> Column:
             return F.ascii(F.substring("wordform", i, 1))
 
-        w = self.vocabulary.filter(F.length("wordform") >= PARADIGM_LETTERS).withColumns({
+        w = self.vocabulary.withColumns({
             "Z": letter(1) % 3 + 1,
             "Y": letter(2) % 5 + 1,
             "X": (letter(3) * 31 + letter(4)) % 10_000,

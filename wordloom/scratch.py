@@ -7,6 +7,8 @@ re-read, never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,8 @@ _local_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a fresh local folder only on a local master."""
+    """The cluster's `spark.checkpoint.dir`; on a local master without one, a folder that
+    is removed when the process ends."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -25,6 +28,7 @@ def shared_root(spark: SparkSession) -> str:
         root = _local_roots.setdefault(app, "")
         if not root:
             root = _local_roots[app] = tempfile.mkdtemp(prefix="wordloom-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/{app}"
 
 

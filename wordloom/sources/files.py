@@ -55,6 +55,9 @@ def text_lines(
         lines = lines.withColumn("value", F.translate("value", *_high_characters(encoding)))
     else:
         lines = spark.read.text(paths)
+    if glob is not None:
+        # Before the running id, so that files are left out when the scan is planned.
+        lines = lines.filter(file_name(F.col("_metadata.file_path")).rlike(glob_pattern(glob)))
     lines = lines.select(
         "value",
         file_name(F.col("_metadata.file_path")).alias("file"),
@@ -64,8 +67,6 @@ def text_lines(
             F.monotonically_increasing_id().alias("row"),
         ).alias("line_order"),
     )
-    if glob is not None:
-        lines = lines.filter(F.col("file").rlike(glob_pattern(glob)))
     return lines.filter(F.col("value") != "")
 
 
@@ -81,7 +82,8 @@ def escaped_cells(line: Column, sep: str, count: int) -> list[Column]:
 
     Empty cells are NULL; a line with more than `count` cells stops the job.
     """
-    cell = rf'((?:"(?:\\.|[^"\\])*"|\\.|[^{sep}\\])*){sep}'
+    # Possessive runs: the expression never keeps a way back, so long cells cost no stack.
+    cell = rf'((?:"(?:[^"\\]++|\\.)*+"|\\.|[^{sep}\\"]++|")*+){sep}'
     cells = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(cell), F.lit(1))
     cells = F.when(
         F.size(cells) > count, F.raise_error(F.concat(F.lit("too many cells: "), line))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,20 +21,24 @@ def read_tsv_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
-def read_relational(spark: SparkSession, folder: str) -> Model:
-    """A folder of id-keyed TSV tables as a model; a missing file is an empty table."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.tsv").load(folder)
-    present = {
-        os.path.basename(row["path"]).removesuffix(".tsv")
-        for row in listing.select("path").limit(len(RELATIONAL) + 1).collect()
-    }
-    return to_natural_keys({
-        name: (
-            read_tsv_table(spark, folder, name) if name in present
-            else spark.createDataFrame([], schema)
-        )
-        for name, schema in RELATIONAL.items()
-    })
+def read_relational(
+    spark: SparkSession, folder: str, may_lack: Iterable[str] = (),
+) -> Model:
+    """A folder of id-keyed TSV tables as a model; a table may be a file or a folder of files.
+
+    A missing table is an error, but for those named in `may_lack`, which are then empty.
+    """
+    lacking = set(may_lack)
+
+    def table(name: str) -> DataFrame:
+        try:
+            return read_tsv_table(spark, folder, name)
+        except AnalysisException as error:
+            if name in lacking and error.getCondition() == "PATH_NOT_FOUND":
+                return spark.createDataFrame([], RELATIONAL[name])
+            raise
+
+    return to_natural_keys({name: table(name) for name in RELATIONAL})
 
 
 def to_natural_keys(tables: dict[str, DataFrame]) -> Model:
