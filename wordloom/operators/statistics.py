@@ -22,12 +22,15 @@ def running_shares(frequencies: DataFrame) -> DataFrame:
 
 
 def list_differences(before: DataFrame, after: DataFrame) -> DataFrame:
-    """How many words a step removed and added."""
+    """How many words a step removed and added; always two rows."""
     old, new = before.select("wordform").distinct(), after.select("wordform").distinct()
-    removed = old.join(new, "wordform", "left_anti").select(F.lit("removed").alias("change"))
-    added = new.join(old, "wordform", "left_anti").select(F.lit("added").alias("change"))
-    return removed.unionByName(added).groupBy("change").agg(
-        F.count(F.lit(1)).alias("num_words"))
+
+    def counted(change: str, words: DataFrame) -> DataFrame:
+        return words.agg(F.count(F.lit(1)).alias("num_words")).select(
+            F.lit(change).alias("change"), "num_words")
+
+    return counted("removed", old.join(new, "wordform", "left_anti")).unionByName(
+        counted("added", new.join(old, "wordform", "left_anti")))
 
 
 def expected_share(rank: Column, normalization: Column, q: float = 0, s: float = 1) -> Column:
