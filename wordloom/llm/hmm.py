@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ STATES, ROUNDS, TOP, BUCKETS, SEED = 8, 4, 32_768, 4_096, 42
 #: Training texts are cut into runs of so many tokens; scoring never cuts.
 RUN = 1024
 #: Tokens whose recursions run side by side, and weight of the prior on emissions.
-TOGETHER, PRIOR = 500_000, 20.0
+TOGETHER, PRIOR = 1_000_000, 20.0
 STICKY = 0.95
+#: The end of a text as a 16-bit symbol.
+END = b"\0\0"
 
 
 def held_out(row_id: Column) -> Column:
@@ -114,16 +117,13 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 symbols, rare, times = [], [], []
                 for body in some.column(2):
                     words = body.as_py().lower().split()
-                    found = list(map(symbol.get, words))
-                    unknown: Counter = Counter()
-                    if None in found:
-                        for at, number in enumerate(found):
-                            if number is None:
-                                word = words[at]
-                                found[at] = first + zlib.crc32(word) % classes
-                                unknown[word] += 1
-                    found.append(0)
-                    symbols.append(np.array(found, "<u2").tobytes())
+                    found = np.fromiter(
+                        map(symbol.get, words, repeat(0)), "<u2", len(words))
+                    at = np.flatnonzero(found == 0)
+                    others = [words[i] for i in at.tolist()]
+                    found[at] = [first + zlib.crc32(word) % classes for word in others]
+                    unknown = Counter(others)
+                    symbols.append(found.tobytes() + END)
                     rare.append(list(unknown))
                     times.append(list(unknown.values()))
                 yield pa.RecordBatch.from_arrays(
@@ -225,23 +225,21 @@ class Hmm:
                 side.symbols, weights=gamma[:, state], minlength=len(emit))
 
 
-def _groups(batches, column: str, cut: int | None) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Rows and their symbol sequences, about TOGETHER tokens at a time."""
-    rows, sequences, held = [], [], 0
+def _groups(
+    batches: Iterator[pa.RecordBatch], column: str, cut: int | None = None,
+) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches, about TOGETHER tokens each, with their symbol sequences."""
     for batch in batches:
-        at = batch.schema.get_field_index(column)
-        for n, body in enumerate(batch.column(at)):
+        bodies = batch.column(batch.schema.get_field_index(column))
+        first, sequences, held = 0, [], 0
+        for at, body in enumerate(bodies, 1):
             symbols = np.frombuffer(body.as_buffer(), "<u2")
-            rows.append(batch.slice(n, 1))
-            runs = [symbols] if cut is None else [
+            sequences += [symbols] if cut is None else [
                 symbols[i:i + cut] for i in range(0, len(symbols), cut)]
-            sequences += runs
             held += len(symbols)
-            if held >= TOGETHER:
-                yield rows, sequences
-                rows, sequences, held = [], [], 0
-    if rows:
-        yield rows, sequences
+            if held >= TOGETHER or at == len(bodies):
+                yield batch.slice(first, at - first), sequences
+                first, sequences, held = at, [], 0
 
 
 def baum_welch(texts: DataFrame, share: np.ndarray, rounds: int = ROUNDS,
@@ -303,7 +301,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def score(batches):
         model, log_mass, seen, first = sent.value
-        for some, sequences in _groups(batches, "symbols", None):
+        for some, sequences in _groups(batches, "symbols"):
             found = model.log10_likelihood(sequences)
             top = [s < first for s in sequences]
             columns = [
@@ -313,11 +311,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 np.array([log_mass[s[~t]].sum() for s, t in zip(sequences, top)]),
                 found,
             ]
-            kept = pa.Table.from_batches(some).select(["key", "id", "held_out"])
-            for name, column in zip(
-                    ("n_tokens", "top_known", "top_base", "class_base", "hmm"), columns):
-                kept = kept.append_column(name, pa.array(column))
-            yield from kept.combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays(
+                [*some.columns[:3], *map(pa.array, columns)],
+                names=["key", "id", "held_out", "n_tokens", "top_known", "top_base",
+                       "class_base", "hmm"])
 
     kind = rows.schema["id"].dataType.simpleString()
     by_text = texts.select("key", "id", "held_out", "symbols").mapInArrow(
