@@ -136,13 +136,22 @@ def judged(
         "urls")
     tokens = urls.select("url", "host", "path", F.explode("token").alias("token"))
     index = stored(rule_index(rules, tokens), "rule-index")
-    target = F.when(F.col("rule").isNull(), F.lower("url")).otherwise(
-        F.concat("host", "path"))
-    fits = F.regexp_like(target, F.col("regex")) & (
-        F.col("rule").isNull() | F.col("url").contains("://"))
-    indexed = tokens.join(F.broadcast(index.filter("token is not null")), "token").filter(fits)
-    scanned = urls.drop("token").join(
-        F.broadcast(index.filter("token is null").drop("token")), F.lit(True)).filter(fits)
+    target = F.when(F.col("rule").isNull(), F.lower("url")).otherwise(F.concat("host", "path"))
+    indexed = tokens.join(
+        F.broadcast(index.filter("token is not null")), "token",
+    ).filter(F.regexp_like(target, F.col("regex")))
+    run_on_all = [
+        F.when(
+            F.regexp_like(
+                F.concat("host", "path") if isinstance(r, HostRule) else F.lower("url"),
+                F.lit(r.regex)),
+            F.struct(
+                F.lit(r.rule if isinstance(r, HostRule) else None).cast("string").alias("rule"),
+                F.lit(r.verdict).alias("verdict"), F.lit(n).alias("number")))
+        for n, r in enumerate([*host_rules, *pattern_rules]) if not r.tokens]
+    kind = "array<struct<rule:string,verdict:string,number:int>>"
+    fitting = F.array_compact(F.array(*run_on_all)) if run_on_all else F.array().cast(kind)
+    scanned = urls.select("url", F.inline(fitting))
     best = (
         indexed.select("url", "rule", "verdict", "number")
         .unionByName(scanned.select("url", "rule", "verdict", "number"))
