@@ -117,8 +117,9 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("cell", [2048, 8])
-@pytest.mark.parametrize("parts", [[(0,), (1,), (2,), (3,)], [(0, 1), (2, 3)]])
-def test_links_lose_nothing(spark, monkeypatch, cell, parts):
+@pytest.mark.parametrize("parts, radius", [
+    ([(0,), (1,), (2,), (3,)], 3), ([(0, 1), (2, 3)], 3), ([(0,), (1,), (2,), (3,)], 7)])
+def test_links_lose_nothing(spark, monkeypatch, cell, parts, radius):
     """Dense clusters and a hot block, in both partitionings and with small cells."""
     monkeypatch.setattr(simhash, "CELL", cell)
     monkeypatch.setattr(simhash, "choose_parts", lambda counts, radius: parts)
@@ -127,14 +128,14 @@ def test_links_lose_nothing(spark, monkeypatch, cell, parts):
     fps = {0}
     for c in centres.tolist():
         for _ in range(25):
-            flips = rng.choice(64, rng.integers(0, 6), replace=False)
+            flips = rng.choice(64, rng.integers(0, radius + 3), replace=False)
             fps.add(c ^ sum(1 << int(b) for b in flips))
     fps |= {int(x) << 16 for x in rng.integers(0, 1 << 47, 40)}
-    root = _components(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 3)
+    root = _components(sorted(fps), lambda a, b: (a ^ b).bit_count() <= radius)
     table = spark.createDataFrame(
         [(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
     edges = [(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1)
-             for r in simhash.links(table).collect()]
+             for r in simhash.links(table, radius).collect()]
     assert all(root[a] == root[b] for a, b in edges)
     assert _linked_roots(sorted(fps), edges) == root
     assert len(set(edges)) < 12 * 25 * 25

@@ -7,6 +7,35 @@ from tests.llm.fixtures import documents, frames
 from wordloom.llm import simhash
 
 
+def one_of_each(texts):
+    """By brute force: components of near fingerprints, then the similarity to the one that stays."""
+    prints = {i: simhash.fingerprint((t or "").encode(), 5) for i, t in texts.items() if i is not None}
+    root = {i: i for i in prints}
+    for _ in prints:
+        for i in prints:
+            root[i] = min(root[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 7)
+    return {i for i in texts if i is None or root[i] == i
+            or simhash.similarity(texts[i], texts[root[i]], 5) < 0.8}
+
+
+def test_near_copies_go_and_unlike_texts_stay(spark):
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    one = " ".join(words)
+    near = " ".join([*words[:200], "other", *words[201:]])
+    far = " ".join(reversed(words))
+    texts = {5: one, 6: near, 7: far, 8: "", 9: None, 10: " ".join(words[:-1])}
+    docs = spark.createDataFrame(
+        [(i, t, 0) for i, t in texts.items()] + [(5, one, 1), (None, one, 2)],
+        "doc_id long, text string, text2 int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect())
+    assert [i for _, i in ids] == [5, 5, 7, 8, None]
+    assert {i for _, i in ids if i is not None} == one_of_each(texts)
+    assert simhash.similarity(one, near, 5) > 0.95 and simhash.similarity(one, far, 5) == 0
+    assert simhash.similarity("", None, 5) == 1 and simhash.similarity("a", "", 5) == 0
+
+
 def test_stages(spark, tmp_path):
     folder = str(tmp_path)
     docs, _ = frames(spark)
@@ -26,10 +55,7 @@ def test_stages(spark, tmp_path):
     assert seen[0] == everything
     assert 8 in seen[1] and not {7, 9} & seen[1]
     assert not {0, 1, 2} & seen[1] - {2}
-    prints = {row[0]: simhash.fingerprint((row[1] or "").encode(), 5) for row in documents()}
-    near = {i for i in seen[1] if i is not None and not any(
-        j is not None and j < i and (prints[i] ^ prints[j]).bit_count() <= 3 for j in seen[1])}
-    assert seen[2] - {None} == near - {None}
+    assert seen[2] == one_of_each({row[0]: row[1] for row in documents() if row[0] in seen[1]})
     assert seen[3] == seen[2] == seen[4]
     text = spark.read.parquet(f"{folder}/3").filter("doc_id = 14").first()["text"]
     assert "AKIA" not in text and "[secret]" in text

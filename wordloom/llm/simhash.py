@@ -14,8 +14,10 @@ leave a task as a spanning forest, never as all pairs.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -155,14 +157,28 @@ def _shells(counts: np.ndarray, radius: int) -> np.ndarray:
 def choose_parts(counts: np.ndarray, radius: int = 3) -> list[tuple[int, ...]]:
     """Four parts of one block or two parts of two, whichever probes and verifies less.
 
-    Four exact probes cost the pairs that share a block value, which grows with the square
-    of the corpus; two parts with one flipped bit cost 66 probes but share 32 bits.
+    Few probes of 16 bits cost the pairs that share a block value, which grow with the square
+    of the corpus; probes of 32 bits are many more (at radius 3, 66 against 4) but share more.
     """
     n = max(1.0, float(counts[0].sum()))
     squares = (counts.astype(np.float64) ** 2).sum(axis=1)
-    four = 4 * n + squares.sum()
-    two = 66 * n + 33 * (squares[0] * squares[1] + squares[2] * squares[3]) / n
-    return [(0,), (1,), (2,), (3,)] if four <= two or radius < 2 else [(0, 1), (2, 3)]
+    four, two = [(0,), (1,), (2,), (3,)], [(0, 1), (2, 3)]
+
+    def cost(parts: list[tuple[int, ...]]) -> float:
+        each, more = divmod(radius + 1, len(parts))
+        total = 0.0
+        for number, part in enumerate(parts):
+            keys = probes(BLOCK * len(part), each + (number < more))
+            pairs = np.prod(squares[list(part)]) / n ** (len(part) - 1)
+            total += keys * (n + pairs)
+        return total
+
+    return four if radius < 2 or cost(four) <= cost(two) else two
+
+
+def probes(width: int, steps: int) -> int:
+    """How many values differ from one of `width` bits in fewer than `steps` bits."""
+    return sum(comb(width, r) for r in range(steps))
 
 
 def _masks(width: int, flips: int) -> np.ndarray:
@@ -189,11 +205,8 @@ def allocate(
             other = shells[block][:, values[block]]
             near = np.stack([
                 sum(near[i] * other[r - i] for i in range(r + 1)) / n for r in range(steps)])
-        width = BLOCK * len(part)
-        probes = np.cumsum([1.0, *(len(list(combinations(range(width), r))) if r < 3
-                                   else width * (width - 1) * (width - 2) / 6
-                                   for r in range(1, steps))])
-        cost = np.concatenate([np.zeros((1, size)), np.cumsum(near, axis=0) + probes[:, None]])
+        keys = np.array([probes(BLOCK * len(part), a) for a in range(1, steps + 1)], float)
+        cost = np.concatenate([np.zeros((1, size)), np.cumsum(near, axis=0) + keys[:, None]])
         options = np.stack([
             np.stack([best[s - a] + cost[a] if a <= s else np.full(size, np.inf)
                       for a in range(steps + 1)]) for s in range(steps + 1)])
@@ -207,6 +220,12 @@ def allocate(
     return np.stack(chosen[::-1])
 
 
+def _under(part: int, keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(fps), part, np.int32)), pa.array(keys), pa.array(fps)],
+        names=["part", "key", "fp"])
+
+
 def signatures(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """`(part, key, fp)`: each fingerprint under its value in every part, and under each
     value that it probes.  Fingerprints within the radius meet under some key."""
@@ -227,22 +246,17 @@ def signatures(distinct: DataFrame, radius: int = 3) -> DataFrame:
                 own = np.zeros(len(fps), np.int64)
                 for i, block in enumerate(part):
                     own |= values[block] << (BLOCK * i)
-                keys, members = [own], [fps]
+                yield _under(number, own, fps)
                 for a in range(2, radius + 2):
                     at = np.flatnonzero(chosen[number] == a)
-                    if len(at):
-                        if (len(part), a) not in masks:
-                            masks[len(part), a] = _masks(BLOCK * len(part), a - 1)
-                        flips = masks[len(part), a]
-                        keys.append((own[at, None] ^ flips[None, :]).ravel())
-                        members.append(np.repeat(fps[at], len(flips)))
-                key, fp = np.concatenate(keys), np.concatenate(members)
-                for start in range(0, len(fp), RUN):
-                    end = min(start + RUN, len(fp))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(end - start, number, np.int32)),
-                         pa.array(key[start:end]), pa.array(fp[start:end])],
-                        names=["part", "key", "fp"])
+                    if len(at) and (len(part), a) not in masks:
+                        masks[len(part), a] = _masks(BLOCK * len(part), a - 1)
+                    rows = max(1, RUN // probes(BLOCK * len(part), a))
+                    for start in range(0, len(at), rows):
+                        some, flips = at[start:start + rows], masks[len(part), a]
+                        yield _under(
+                            number, (own[some, None] ^ flips[None, :]).ravel(),
+                            np.repeat(fps[some], len(flips)))
 
     return distinct.select("fp").mapInArrow(run, "part int, key long, fp long")
 
@@ -348,10 +362,52 @@ def near_duplicates(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def similarity(one: str | None, other: str | None, words_in_shingle: int) -> float:
+    """Cosine of two texts' shingle counts, which the fingerprints estimate."""
+    def counts(text: str | None) -> Counter:
+        words = (text or "").encode().lower().split()
+        k = min(words_in_shingle, len(words))
+        return Counter(zip(*(words[i:] for i in range(k))))
+
+    a, b = counts(one), counts(other)
+    if not a or not b:
+        return float(not a and not b)
+    shared = sum(n * b[shingle] for shingle, n in a.items() if shingle in b)
+    return shared / sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                words_in_shingle: int = 5) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, with all columns."""
-    kept = near_duplicates(docs, id_col, text_col, 3, words_in_shingle).filter(
-        F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+                words_in_shingle: int = 5, radius: int = 7, least: float = 0.8) -> DataFrame:
+    """`docs`, with all columns, without near copies of a smaller id.
+
+    Components link fingerprints at `radius` or fewer differing bits; a row goes if its text
+    has a similarity of `least` or more to a text of its component's smallest id, so
+    unlike texts that a chain of links or chance brings together stay.  Rows with a null id
+    stay, as do repeated rows of the smallest id.
+    """
+    found = near_duplicates(docs, id_col, text_col, radius, words_in_shingle)
+    pairs = stored(
+        found.filter(F.col(id_col) != F.col("component_id")).select(
+            F.col(id_col).alias("id"), F.col("component_id").alias("keep")).distinct(), "pairs")
+    ids = pairs.select("id").unionByName(pairs.select(F.col("keep").alias("id"))).distinct()
+    texts = stored(
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        .join(ids, "id", "left_semi").distinct(), "texts")
+
+    def run(batches):
+        for batch in batches:
+            far = [similarity(one.as_py(), other.as_py(), words_in_shingle) < least
+                   for one, other in zip(batch.column(1), batch.column(2))]
+            yield batch.filter(pa.array([not f for f in far], pa.bool_())).select([0, 1])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    kept = texts.select(F.col("id").alias("keep"), F.col("text").alias("other"))
+    copies = (
+        pairs.join(texts, "id").join(kept, "keep").select("id", "text", "other")
+        .mapInArrow(run, f"id {kind}, text string")
+        .select(F.col("id").alias("__copy"), F.md5(F.coalesce("text", F.lit(""))).alias("__hash"))
+        .distinct()
+    )
+    same = (F.col(id_col) == F.col("__copy")) & (
+        F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
+    return docs.join(stored(copies, "copies"), same, "left_anti")
