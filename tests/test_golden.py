@@ -93,6 +93,15 @@ def test_variants_of_word(golden):
         "overall_max_year",
     ) == [(1510, 1510, 1.5163640319967973e-06, 1.5163640319967973e-06, 1510, 2000)]
     assert paradigms.variants_of_word(golden, "asdasdasd").count() == 0
+    nested = paradigms.variants_document(golden, "aandacht", None, 2000).collect()
+    (paradigm,) = nested[0]["paradigms"]
+    assert (paradigm["lemma"], paradigm["metadata"]["max_year"]) == ("aandacht", 1510)
+    (form,) = paradigm["variants"]
+    assert form["corpora"][0]["corpus_name"] == "Dummy corpus 2"
+    assert [p["term_frequency"] for p in form["corpora"][0]["frequencies"]] == [4]
+    ranked = paradigms.corrections_document(golden, "wanneer").first()
+    assert ranked["paradigms"] is None and len(ranked["corrections"]) == lexica.corrections(
+        golden, "wanneer").count()
 
 
 def test_variants_by_codes(golden):

@@ -5,6 +5,9 @@ import gzip
 
 import pytest
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from tests.conftest import rows_of
 from wordloom.sources import (
     files, frequency_files, paradigm_files, tables, variant_files, word_lists, xml_tokens,
@@ -78,7 +81,7 @@ def test_word_lists(spark, tmp_path):
     assert rows_of(word_lists.read_word_csv(spark, folder)) == [
         ("NA",), ("a,b",), ("aap",), ("null",)]
     folder = put(tmp_path / "p", "pairs.tsv", "gaan\tging\nnull\tnan\n")
-    assert rows_of(word_lists.read_pairs(spark, folder)) == [("gaan", "ging"), ("null", "nan")]
+    assert rows_of(word_lists.read_pairs(spark, folder), "lemma", "variant") == [("gaan", "ging"), ("null", "nan")]
 
 
 def test_correction_list(spark, tmp_path):
@@ -87,7 +90,7 @@ def test_correction_list(spark, tmp_path):
         "*def \t[EXAMPL: d#e] #d\tef", "*ghi#" + "z" * 100 + "#ghj", "*jkl\tnothing", "*m# ##n",
         "*café#koffie",
     ]) + "\n", encoding="cp1252")
-    found = rows_of(word_lists.read_correction_list(spark, folder, encoding="windows-1252"))
+    found = rows_of(word_lists.read_correction_list(spark, folder, encoding="windows-1252"), "wf", "corr")
     assert found == [
         ("aan bod", "aan het bod"), ("aan bod", "aanbod"), ("abc", "ab c"),
         ("café", "koffie"), ("def", "def"), ("ghi", "ghj"), ("m", "n")]
@@ -133,7 +136,7 @@ def test_variant_files(spark, tmp_path):
     folder = put(tmp_path / "c", "1.txt", "ws1#1303#wf1#500133773#1#R#153688271885\n")
     put(tmp_path / "c", "2.txt", "wf2#930#wf1#500133773#1#R#153688271885\n")
     found = variant_files.read_correction_candidates(spark, folder)
-    assert (found.count(), len(found.columns)) == (2, 7)
+    assert (found.count(), len(found.drop("line_order").columns)) == (2, 7)
     folder = put(
         tmp_path / "r", "r.gz", "a#1#b#x#y#2#z\na#9#c#x#y#3#z\nd#4#e#x#y#1\n", gzip.open)
     found = variant_files.read_ranked_variants(spark, folder)
@@ -216,7 +219,7 @@ def test_long_dictionary_cell(spark, tmp_path):
     from wordloom.sources.word_lists import COLUMNS_1995, read_dictionary_1995
 
     long = "x" * 200_000
-    cells = [long, f'"{long};y"', "a\;b", '"', *["c"] * (len(COLUMNS_1995) - 4)]
+    cells = [long, f'"{long};y"', r"a\;b", '"', *["c"] * (len(COLUMNS_1995) - 4)]
     (tmp_path / "d.txt").write_text(";".join(cells) + "\n")
     row = read_dictionary_1995(spark, str(tmp_path)).first()
     assert (row[0], row[1], row[2], row[3]) == (long, f"{long};y", r"a;b", '"')
@@ -231,3 +234,26 @@ def test_files_are_left_out_when_the_scan_is_planned(spark, tmp_path):
     assert [r["value"] for r in lines.collect()] == ["3"]
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Filter") > plan.index("monotonically_increasing_id")
+
+
+def test_the_first_of_repeated_pairs_counts(spark, tmp_path):
+    """Whichever direction comes first in the file decides, with its own columns."""
+    from wordloom.operators.links import both_directions
+
+    folder = put(tmp_path / "p", "p.tsv", "zeta\talfa\nalfa\tzeta\nzeta\talfa\nb\tc\n")
+    directed = both_directions(
+        word_lists.read_pairs(spark, folder), "lemma", "variant", order_by="line_order")
+    assert rows_of(directed.filter("forward"), "wordform_from", "wordform_to") == [
+        ("b", "c"), ("zeta", "alfa")]
+    folder = put(tmp_path / "l", "l.txt", "*b#a #c\n*a#b\n")
+    found = word_lists.read_correction_list(spark, folder)
+    assert rows_of(found.select("wf", "corr", F.rank().over(
+        Window.partitionBy(F.lit(0)).orderBy("line_order")).alias("n"))) == [
+        ("a", "b", 3), ("b", "a", 1), ("b", "c", 2)]
+    folder = put(
+        tmp_path / "c", "c.txt", "zeta#1#alfa#1#5#R#1\nalfa#1#zeta#1#9#R#1\nzeta#1#alfa#1#1#R#1\n")
+    directed = both_directions(
+        variant_files.read_correction_candidates(spark, folder), "ocr_variant",
+        "correction_candidate", ["ld"], order_by="line_order")
+    assert rows_of(directed.filter("forward"), "wordform_from", "wordform_to", "ld") == [
+        ("zeta", "alfa", 5)]

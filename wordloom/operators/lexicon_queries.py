@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.model import Model
 from wordloom.operators.links import LINK
 from wordloom.operators.lookup import Words, for_words
+from wordloom.scratch import stored
 
 
 def words_in_min_lexica(
@@ -123,7 +124,9 @@ def linked_words_in_corpus(
     Words that the corpus does not have are left out.  `correct` tells of the linked word,
     `word_correct` of the word itself.
     """
-    linked = linked_words(model, words, lexicon_id)
+    # Written first: its true size is known when the attestations are joined, so a few words
+    # are broadcast by Spark's own size check and the attestations are only scanned.
+    linked = stored(linked_words(model, words, lexicon_id), "linked")
     members = model.corpus_documents.filter(F.col("corpus_id") == corpus_id)
     frequencies = (
         model.attestations

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from wordloom.functions.text import effective_year, paradigm_code
 from wordloom.model import Model
 from wordloom.operators.corpus_queries import word_in_corpora_over_time, year_bound
+from wordloom.operators.lexicon_queries import corrections
 from wordloom.operators.lookup import Words, for_words, is_listed
+from wordloom.scratch import stored
 
 CODES = ["Z", "Y", "X", "W"]
 # The type code of a lemma, and of the forms listed with it.
@@ -67,7 +69,10 @@ def variants_for_lemma(
         .groupBy("lemma_id", "V", "W", "X", "Y", "Z", "word_type_code", "wordform")
         .agg(_rows().alias("copies"))
     )
-    words = forms.select("wordform").distinct()
+    # Written first: read four times, and of a known size, so that the attestations are
+    # scanned, not shuffled, when the forms are few.
+    forms = stored(forms, "forms")
+    words = stored(forms.select("wordform").distinct(), "form-words")
     documents = model.documents.select("document_id", effective_year().alias("year"))
     mine = model.attestations.join(words, "wordform", "left_semi")
     # Per word and corpus first: the second step counts corpora without a distinct.
@@ -130,6 +135,7 @@ def variants_of_word(
         "lookup_word", paradigm_code().alias("paradigm_code"), "wordform", "word_type_code",
         "word_type_number", "V", "anahash", "frequency",
     )
+    forms = stored(forms, "forms")
     lemmas = forms.filter(F.col("word_type_code") == LEMMA).groupBy(
         "lookup_word", "paradigm_code").agg(F.min("wordform").alias("lemma"))
     series = word_in_corpora_over_time(model, forms.select("wordform"), start, end)
@@ -170,6 +176,51 @@ def variants_metadata(
     }).withColumn("min_year", F.greatest("min_year", "overall_min_year"))
 
 
+def variants_document(
+    model: Model, words: Words, start: int | None = None, end: int | None = None,
+) -> DataFrame:
+    """One row per looked-up word: its paradigms, their forms and the forms' series, nested.
+
+    `paradigms` is an array by code; each has its lemma, the ranges of `variants_metadata` and
+    `variants` by form number, each with `corpora` by name and `frequencies` by year.  A row
+    holds the forms of one word's paradigms, for the words that are asked for.
+    """
+    rows = variants_of_word(model, words, start, end)
+    form = ["lookup_word", "paradigm_code", "lemma", "V", "wordform", "word_type_code",
+            "word_type_number", "anahash", "frequency"]
+    point = F.struct("year", "freq", "total", "term_frequency", "rel_corpus_frequency")
+    per_corpus = rows.groupBy(*form, "corpus_name").agg(
+        F.first("total_number_of_words").alias("total_number_of_words"),
+        F.sort_array(F.collect_list(point)).alias("frequencies"))
+    series = F.when(F.col("corpus_name").isNotNull(), F.struct(
+        "corpus_name", "total_number_of_words", "frequencies"))
+    per_form = per_corpus.groupBy(*form).agg(
+        F.sort_array(F.collect_list(series)).alias("corpora"))
+    per_paradigm = per_form.groupBy(*form[:3]).agg(
+        F.sort_array(F.collect_list(F.struct(*form[3:], "corpora"))).alias("variants"))
+    ranges = variants_metadata(model, words, start, end)
+    metadata = F.struct(*[c for c in ranges.columns if c not in form]).alias("metadata")
+    return (
+        per_paradigm.join(
+            ranges.select("lookup_word", "paradigm_code", metadata),
+            ["lookup_word", "paradigm_code"])
+        .groupBy("lookup_word").agg(F.sort_array(F.collect_list(F.struct(
+            "paradigm_code", "lemma", "metadata", "variants"))).alias("paradigms"))
+    )
+
+
+def corrections_document(
+    model: Model, words: Words, start: int | None = None, end: int | None = None,
+) -> DataFrame:
+    """`variants_document` with the ranked variants of the word, nearest first.
+
+    A word with only one of the two has NULL for the other.
+    """
+    ranked = corrections(model, words).groupBy("lookup_word").agg(F.sort_array(F.collect_list(
+        F.struct("levenshtein_distance", "wordform", "frequency"))).alias("corrections"))
+    return variants_document(model, words, start, end).join(ranked, "lookup_word", "full")
+
+
 def paradigm_count(
     model: Model, X: int | None = None, Y: int | None = None, Z: int | None = None,
 ) -> DataFrame:

@@ -36,7 +36,7 @@ def _pairs(name: str, read, from_column: str, to_column: str, from_correct: bool
     def load(spark, paths, model):
         return lexica.add_lexicon_with_links(
             model, name, from_correct, read(spark, paths), from_column, to_column,
-            from_correct, True)
+            from_correct, True, order_by="line_order")
 
     return load
 

@@ -277,31 +277,29 @@ def corrections_of_word(w: Workload):
 # Links.
 
 def _pairs(w: Workload):
-    """Variant pairs, some repeated backwards, and a self link per candidate."""
+    """Variant pairs at 2, some repeated backwards before or after, and self links."""
     pairs = w.variant_pairs.select(
-        F.col("ocr_variant").alias("a"), F.col("correction_candidate").alias("b"), "ld")
+        F.col("ocr_variant").alias("a"), F.col("correction_candidate").alias("b"), "ld",
+        F.lit(2).alias("at"))
     back = pairs.filter(F.col("ld") > 2).select(
-        F.col("b").alias("a"), F.col("a").alias("b"), F.lit(99).alias("ld"))
-    self_links = pairs.select(F.col("b").alias("a"), "b", F.lit(0).alias("ld"))
+        F.col("b").alias("a"), F.col("a").alias("b"), F.lit(99).alias("ld"),
+        F.when(F.col("ld") % 2 == 0, 1).otherwise(3).alias("at"))
+    self_links = pairs.select(F.col("b").alias("a"), "b", F.lit(0).alias("ld"), "at")
     return pairs.unionByName(back).unionByName(self_links)
 
 
 @query("""
-    SELECT wordform_from, wordform_to, 5::BIGINT AS lexicon_id,
-           forward AS wordform_from_correct, NOT forward AS wordform_to_correct, ld
-    FROM (SELECT s.wordform_from, s.wordform_to, s.ld,
-                 CASE WHEN s.ld > 2 THEN s.wordform_from < s.wordform_to
-                      ELSE NOT s.wordform_from_correct AND s.wordform_to_correct END AS forward,
-          FROM m_link_sources s WHERE s.ld <= 2
-          UNION ALL
-          SELECT wordform_from, wordform_to,
-                 CASE WHEN least(wordform_from, wordform_to) =
-                      CASE WHEN wordform_from_correct THEN wordform_to ELSE wordform_from END
-                      THEN ld ELSE 99 END,
-                 wordform_from < wordform_to
-          FROM m_link_sources WHERE ld > 2)""")
+    WITH given AS (
+        SELECT ocr_variant AS a, correction_candidate AS b, ld, 2 AS place FROM m_variant_pairs
+        UNION ALL SELECT correction_candidate, ocr_variant, 99, CASE ld % 2 WHEN 0 THEN 1 ELSE 3 END
+        FROM m_variant_pairs WHERE ld > 2),
+    first AS (SELECT * FROM given QUALIFY row_number() OVER (
+        PARTITION BY least(a, b), greatest(a, b) ORDER BY place) = 1)
+    SELECT a AS wordform_from, b AS wordform_to, 5::BIGINT AS lexicon_id,
+           true AS wordform_from_correct, false AS wordform_to_correct, ld FROM first
+    UNION ALL SELECT b, a, 5, false, true, ld FROM first""")
 def link_sources(w: Workload):
-    directed = links.both_directions(_pairs(w), "a", "b", ["ld"])
+    directed = links.both_directions(_pairs(w), "a", "b", ["ld"], order_by="at")
     return links.link_sources(directed, 5, True, False).drop("anahash_difference")
 
 
@@ -310,7 +308,7 @@ def link_sources(w: Workload):
     WHERE NOT (wordform_from_correct AND ld > 2)""")
 def new_links(w: Workload):
     known = w.link_sources.filter(F.col("wordform_from_correct") & (F.col("ld") > 2))
-    directed = links.both_directions(_pairs(w), "a", "b", ["ld"])
+    directed = links.both_directions(_pairs(w), "a", "b", ["ld"], order_by="at")
     return links.new_links(known.select(*links.LINK), directed)
 
 

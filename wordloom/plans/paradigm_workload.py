@@ -288,3 +288,51 @@ def paradigm_network_nodes(w: Workload):
     SELECT *, source || target AS id FROM links""")
 def paradigm_network_links(w: Workload):
     return q.paradigm_network(w, LOOKUPS)[1]
+
+
+NESTED = FORM_SERIES + """,
+    counted AS (
+        SELECT f.lookup_word, f.paradigm_code, f.wordform, f.V, s.corpus_name,
+               count(s.year)::BIGINT AS years, sum(s.term_frequency)::BIGINT AS total
+        FROM forms f LEFT JOIN series s ON f.wordform = s.wordform GROUP BY ALL),
+    nested AS (
+        SELECT lookup_word, count(DISTINCT paradigm_code)::BIGINT AS num_paradigms,
+               count(DISTINCT paradigm_code || wordform || V)::BIGINT AS num_variants,
+               count(corpus_name)::BIGINT AS num_series, sum(years)::BIGINT AS num_points,
+               coalesce(sum(total), 0)::BIGINT AS term_frequency
+        FROM counted GROUP BY lookup_word)"""
+
+
+def _nested_counts():
+    variants = F.flatten(F.transform("paradigms", lambda p: p["variants"]))
+    series = F.flatten(F.transform(variants, lambda v: v["corpora"]))
+    points = F.flatten(F.transform(series, lambda s: s["frequencies"]))
+    frequency = F.aggregate(
+        points, F.lit(0).cast("long"), lambda total, point: total + point["term_frequency"])
+    return [
+        F.size("paradigms").cast("long").alias("num_paradigms"), F.size(variants).cast("long").alias("num_variants"),
+        F.size(series).cast("long").alias("num_series"),
+        F.size(points).cast("long").alias("num_points"), frequency.alias("term_frequency"),
+    ]
+
+
+@query(NESTED + " SELECT * FROM nested")
+def variants_nested(w: Workload):
+    return q.variants_document(w, LOOKUPS, 1820, 1960).select("lookup_word", *_nested_counts())
+
+
+@query(NESTED + """,
+    ranked AS (
+        SELECT correction_candidate AS lookup_word, count(*)::BIGINT AS num_corrections,
+               min(ld)::BIGINT AS nearest
+        FROM m_variant_pairs WHERE correction_candidate IN {listed} GROUP BY ALL)
+    SELECT lookup_word, num_paradigms, num_variants, num_series, num_points, term_frequency,
+           num_corrections, nearest
+    FROM nested FULL JOIN ranked USING (lookup_word)""".replace("{listed}", LISTED))
+def corrections_nested(w: Workload):
+    found = q.corrections_document(w, LOOKUPS, 1820, 1960)
+    return found.select(
+        "lookup_word", *_nested_counts(),
+        F.when(F.col("corrections").isNotNull(), F.size("corrections")).cast("long")
+        .alias("num_corrections"),
+        F.col("corrections")[0]["levenshtein_distance"].alias("nearest"))

@@ -169,7 +169,7 @@ def word_csv_files(w: Workload):
 @query("SELECT correction_candidate AS lemma, ocr_variant AS variant FROM m_variant_pairs")
 def pair_files(w: Workload):
     rows = lines(w.variant_pairs, "correction_candidate", "ocr_variant", sep="\t")
-    return word_lists.read_pairs(w.spark, files(w, "pairs", rows.write.text))
+    return word_lists.read_pairs(w.spark, files(w, "pairs", rows.write.text)).drop("line_order")
 
 
 def correction_file(w: Workload) -> str:
@@ -189,7 +189,7 @@ def correction_file(w: Workload) -> str:
     UNION ALL SELECT ocr_variant, reverse(correction_candidate) FROM m_variant_pairs
     WHERE ld % 3 = 0""")
 def correction_lists(w: Workload):
-    return word_lists.read_correction_list(w.spark, correction_file(w))
+    return word_lists.read_correction_list(w.spark, correction_file(w)).drop("line_order")
 
 
 def dictionary_file(w: Workload) -> str:
@@ -316,7 +316,7 @@ def correction_candidate_files(w: Workload):
         w.variant_pairs, "ocr_variant", "corpus_frequency", "correction_candidate", F.lit("7"),
         "ld", F.lit("R"), "anahash", sep="#")
     return variant_files.read_correction_candidates(
-        w.spark, files(w, "candidates", rows.write.text))
+        w.spark, files(w, "candidates", rows.write.text)).drop("line_order")
 
 
 def variant_file(w: Workload) -> str:

@@ -36,6 +36,15 @@ def _high_characters(encoding: str) -> tuple[str, str]:
     return "".join(a for a, _ in both), "".join(b for _, b in both)
 
 
+def line_order() -> Column:
+    """The place of a row in the files of a scan."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    ).alias("line_order")
+
+
 def text_lines(
     spark: SparkSession, paths: str | list[str], glob: str | None = None,
     encoding: str | None = None,
@@ -60,12 +69,7 @@ def text_lines(
         lines = lines.filter(file_name(F.col("_metadata.file_path")).rlike(glob_pattern(glob)))
     lines = lines.select(
         "value",
-        file_name(F.col("_metadata.file_path")).alias("file"),
-        F.struct(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("line_order"),
+        file_name(F.col("_metadata.file_path")).alias("file"), line_order(),
     )
     return lines.filter(F.col("value") != "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.sources.files import delimited, text_lines
+from wordloom.sources.files import delimited, line_order, text_lines
 
 # Seven '#'-separated columns; the meaning of two is not documented.
 CANDIDATE_SCHEMA = (
@@ -15,8 +15,8 @@ CANDIDATE_SCHEMA = (
 
 
 def read_correction_candidates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One file, several files or a whole folder of correction candidates."""
-    return delimited(spark, paths, CANDIDATE_SCHEMA, "#")
+    """One file, several files or a whole folder of correction candidates, with `line_order`."""
+    return delimited(spark, paths, CANDIDATE_SCHEMA, "#").select("*", line_order())
 
 
 def read_ranked_variants(spark: SparkSession, paths: str | list[str]) -> DataFrame:
