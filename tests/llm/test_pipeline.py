@@ -65,3 +65,43 @@ def test_run_is_registered(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+
+
+def taken_by_id(texts, least=0.8):
+    """By brute force: in order of id, each text that is similar to none that stays."""
+    kept = []
+    for i in sorted(texts):
+        if all(simhash.similarity(texts[i], texts[k], 5) < least for k in kept):
+            kept.append(i)
+    return set(kept)
+
+
+def _stay(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+
+
+def test_no_two_that_stay_are_similar(spark):
+    words = [f"w{i}" for i in range(400)]
+    chain = {i: " ".join([*(f"v{n}" for n in range(i * 2)), *words[i * 2:]]) for i in range(30)}
+    other = [f"x{i}" for i in range(100)]
+    groups = {100: " ".join([*words[:40], *other[:60]])}
+    for i in range(101, 106):
+        groups[i] = " ".join([*other, f"end{i}"])
+    texts = chain | groups
+    stay = _stay(spark, texts)
+    assert stay == taken_by_id(texts)
+    assert not any(simhash.similarity(texts[a], texts[b], 5) >= 0.8
+                   for a in stay for b in stay if a < b)
+    assert len(stay) < len(texts) and {100, 101} <= stay
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    from wordloom.llm import similar
+
+    monkeypatch.setattr(similar, "PAIRS", 1)
+    monkeypatch.setattr(similar, "EDGES", 5)
+    words = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join([*words[:i], f"new{i}", *words[i + 1:]]) for i in range(99)}
+    texts |= {200 + i: " ".join([*words[:50], *(f"u{i}x{n}" for n in range(50))]) for i in range(9)}
+    assert _stay(spark, texts) == taken_by_id(texts)

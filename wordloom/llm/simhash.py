@@ -14,10 +14,9 @@ leave a task as a spanning forest, never as all pairs.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations, repeat
-from math import comb, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.components import connected_components
+from wordloom.llm.similar import one_of_each, similarity  # noqa: F401
 from wordloom.scratch import stored
 
 BITS, BLOCK, SEED = 64, 16, 42
@@ -360,54 +360,3 @@ def near_duplicates(
     known = stored(named.join(lowest, "root").select("fp", "component_id"), "known")
     return rows.join(known, "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def similarity(one: str | None, other: str | None, words_in_shingle: int) -> float:
-    """Cosine of two texts' shingle counts, which the fingerprints estimate."""
-    def counts(text: str | None) -> Counter:
-        words = (text or "").encode().lower().split()
-        k = min(words_in_shingle, len(words))
-        return Counter(zip(*(words[i:] for i in range(k))))
-
-    a, b = counts(one), counts(other)
-    if not a or not b:
-        return float(not a and not b)
-    shared = sum(n * b[shingle] for shingle, n in a.items() if shingle in b)
-    return shared / sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                words_in_shingle: int = 5, radius: int = 7, least: float = 0.8) -> DataFrame:
-    """`docs`, with all columns, without near copies of a smaller id.
-
-    Components link fingerprints at `radius` or fewer differing bits; a row goes if its text
-    has a similarity of `least` or more to a text of its component's smallest id, so
-    unlike texts that a chain of links or chance brings together stay.  Rows with a null id
-    stay, as do repeated rows of the smallest id.
-    """
-    found = near_duplicates(docs, id_col, text_col, radius, words_in_shingle)
-    pairs = stored(
-        found.filter(F.col(id_col) != F.col("component_id")).select(
-            F.col(id_col).alias("id"), F.col("component_id").alias("keep")).distinct(), "pairs")
-    ids = pairs.select("id").unionByName(pairs.select(F.col("keep").alias("id"))).distinct()
-    texts = stored(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(ids, "id", "left_semi").distinct(), "texts")
-
-    def run(batches):
-        for batch in batches:
-            far = [similarity(one.as_py(), other.as_py(), words_in_shingle) < least
-                   for one, other in zip(batch.column(1), batch.column(2))]
-            yield batch.filter(pa.array([not f for f in far], pa.bool_())).select([0, 1])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    kept = texts.select(F.col("id").alias("keep"), F.col("text").alias("other"))
-    copies = (
-        pairs.join(texts, "id").join(kept, "keep").select("id", "text", "other")
-        .mapInArrow(run, f"id {kind}, text string")
-        .select(F.col("id").alias("__copy"), F.md5(F.coalesce("text", F.lit(""))).alias("__hash"))
-        .distinct()
-    )
-    same = (F.col(id_col) == F.col("__copy")) & (
-        F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
-    return docs.join(stored(copies, "copies"), same, "left_anti")
