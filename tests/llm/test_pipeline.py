@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from tests.llm.fixtures import documents, frames
 from wordloom.llm import simhash
@@ -105,3 +107,19 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     texts = {i: " ".join([*words[:i], f"new{i}", *words[i + 1:]]) for i in range(99)}
     texts |= {200 + i: " ".join([*words[:50], *(f"u{i}x{n}" for n in range(50))]) for i in range(9)}
     assert _stay(spark, texts) == taken_by_id(texts)
+
+
+def test_copies_of_any_length_are_found(spark):
+    pick, texts = random.Random(3), {}
+    for words, changed in ((30, 1), (60, 1), (120, 2), (400, 8)):
+        for n in range(10):
+            at = 1000 * words + 2 * n
+            text = [f"w{pick.randrange(5000)}" for _ in range(words)]
+            texts[at] = " ".join(text)
+            for place in range(changed):
+                text[(place * words // changed + 3 * n) % words] = f"new{n}"
+            texts[at + 1] = " ".join(text)
+    far = {i for i in texts if i % 2 and simhash.similarity(texts[i], texts[i - 1], 5) >= 0.8}
+    assert len(far) >= 35
+    stay = _stay(spark, texts)
+    assert stay == taken_by_id(texts) == set(texts) - far
