@@ -318,6 +318,25 @@ def test_nearest_against_brute_force(spark):
     assert neighbours.nearest(table.limit(0)).collect() == []
 
 
+def test_nearest_of_vectors_of_unequal_length(spark):
+    rng = np.random.default_rng(5)
+    plain = rng.standard_normal((1200, 32))
+    plain /= np.linalg.norm(plain, axis=1)[:, None]
+    outlier = plain.copy()
+    outlier[7] *= 50
+    for whole in (outlier, plain * rng.lognormal(0, 1, (1200, 1))):
+        table = spark.createDataFrame(
+            [(n, v.tolist()) for n, v in enumerate(whole)], "vec_id long, embedding array<double>")
+        found = defaultdict(set)
+        for r in neighbours.nearest(table).collect():
+            found[r["query_id"]].add(r["vec_id"])
+        hits = 0
+        for q in range(0, 1200, 20):
+            order = np.lexsort((np.arange(1200), -(whole @ whole[q])))
+            hits += len(found[q] & set(order[order != q][:20].tolist()))
+        assert hits / (60 * 20) >= 0.95
+
+
 def test_urls_against_brute_force(spark):
     rows = [
         (1, "http://a.example.net/en/x"), (2, "https://EXAMPLE.net/de/"), (3, "http://net"),

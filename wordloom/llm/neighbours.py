@@ -1,13 +1,14 @@
 """Nearest neighbours by inner product with collision-counting hashing.
 
-Vectors get one more component so that all have the length of the longest, and queries are
-scaled to it; then the largest inner product is the smallest distance.  The vectors are dealt into
-blocks by a hash.  A block's index has, for each of `PROJECTIONS` random directions, the
-sorted projections of its vectors and the rank of each vector there.  A query opens a window
-around its own projection in every array; a vector in at least `COLLIDE` of the windows is a
-candidate.  Windows widen (virtual rehashing: the arrays stay as they are) until a share
-`ENOUGH` of the block, and `LEAST * wanted` vectors, are candidates, or no vector is left; those are
-verified with the original vectors in double precision.
+Vectors are dealt into blocks by classes of length, `STEP` times from one to the next, and within a
+class by a hash.  In a block they get one more component so that all have the length of its longest,
+and queries are scaled to it; then the largest inner product is the smallest distance.  A block's
+index has, for each of `PROJECTIONS` random directions, the sorted projections of its vectors and
+the rank of each vector there.  A query opens a window around its own projection in every array; a
+vector in at least `COLLIDE` of the windows is a candidate and verified with the original vectors in
+double precision.  Windows widen (virtual rehashing: the arrays stay as they are) until they are
+`SURE` times as wide as the distance of the last of the `wanted` best candidates: a vector as near
+as that is then in over `COLLIDE` of the windows by two standard deviations, a nearer one by more.
 
 Every query meets every block, in groups of one block and at most about `QUERIES` queries,
 so a task holds a few megabytes; of each such group only the best `wanted` go on.
@@ -24,9 +25,10 @@ from wordloom.scratch import stored
 
 PROJECTIONS, SEED = 64, 42
 BLOCK, QUERIES = 8192, 4096
-#: Width of the first windows and how they grow, in lengths of the longest vector.
+#: Width of the first windows, in lengths of a block's longest vector, and how they grow.
 FIRST, WIDER = 2.0, 1.1
-COLLIDE, ENOUGH, LEAST = 0.6, 0.35, 16
+#: A projection's normal deviate is within SURE / 2 in 72 % of the directions.
+COLLIDE, SURE, STEP = 0.6, 2.17, 1.25
 
 
 def directions(size: int, count: int = PROJECTIONS) -> np.ndarray:
@@ -34,14 +36,19 @@ def directions(size: int, count: int = PROJECTIONS) -> np.ndarray:
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """`(id, vector, size)`: vectors with an id whose components are all finite, not all zero."""
+    """`(id, vector, size, class)`: vectors with an id whose components are all finite, not all
+    zero; vectors of a class differ in length by a factor of `STEP` at most."""
     rows = table.select(
         F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     return rows.filter(
         F.col("id").isNotNull()
         & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vector", lambda x: x != 0)
-    ).select("id", "vector", F.size("vector").alias("size"))
+    ).select(
+        "id", "vector", F.size("vector").alias("size"),
+        F.coalesce(
+            F.round(F.log(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+                    / F.lit(2 * np.log(STEP).item())).cast("long"), F.lit(-10_000)).alias("class"))
 
 
 def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
@@ -70,11 +77,11 @@ def search_block(
     query: np.ndarray, vectors: np.ndarray, arrays: np.ndarray, ranks: np.ndarray,
     longest: float, wanted: int, directed: np.ndarray,
 ) -> np.ndarray:
-    """Positions of the candidates of one query in a block."""
-    if not np.isfinite(longest):
+    """Positions of the candidates of one query in a block, which may have the query itself."""
+    length = np.sqrt(query @ query)
+    if len(vectors) <= wanted or not 0 < longest < np.inf or not 0 < length < np.inf:
         return np.arange(len(vectors))
-    at = directed @ (query * (longest / np.sqrt(query @ query)))
-    enough = min(len(vectors), max(LEAST * wanted, int(ENOUGH * len(vectors))))
+    at = directed @ (query * (longest / length))
     need, width = int(np.ceil(COLLIDE * len(arrays))), FIRST * longest
     while True:
         first = (at - width / 2).astype(np.float32)
@@ -84,9 +91,17 @@ def search_block(
         hits = np.add.reduce(
             (ranks - low[:, None]) < (high - low)[:, None], axis=0, dtype=np.uint16)
         found = np.flatnonzero(hits >= need)
-        if len(found) >= enough:
+        if len(found) == len(vectors):
             return found
-        width *= WIDER
+        if len(found) > wanted:
+            last = np.partition(vectors[found] @ query, -wanted - 1)[-wanted - 1]
+            sure = SURE * np.sqrt(max(0.0, 2 * longest * (longest - last / length)))
+            if width >= sure:
+                return found
+            # More candidates only bring the last one nearer, so these windows are the last.
+            width = sure
+        else:
+            width *= WIDER
 
 
 def nearest(
@@ -102,17 +117,13 @@ def nearest(
     and a vector count once.  An empty table gives no rows; other columns are not looked at.
     """
     valid = stored(valid_vectors(table, id_col, vector_col), "vectors")
-    totals = valid.groupBy("size").agg(
-        F.count("*").alias("n"),
-        F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("square"),
-        F.count_if(F.col("id") % every == 0).alias("queries"),
-    ).select(
-        "size", F.sqrt("square").alias("longest"),
-        F.ceil(F.col("n") / BLOCK).alias("blocks"),
-        F.greatest(F.lit(1), F.ceil(F.col("queries") / QUERIES)).alias("groups"),
-    )
-    sized = valid.join(totals, "size")
-    dealt = sized.withColumn(
+    totals = stored(
+        valid.groupBy("size", "class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")),
+        "classes")
+    asked = stored(
+        valid.groupBy("size").agg(F.greatest(F.lit(1), F.ceil(
+            F.count_if(F.col("id") % every == 0) / QUERIES)).alias("groups")), "groups")
+    dealt = valid.join(totals, ["size", "class"]).join(asked, "size").withColumn(
         "block", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")))
 
     def build(rows: pa.Table) -> pa.Table:
@@ -122,23 +133,27 @@ def nearest(
         ids, vectors = ids[order], vectors[order]
         again = (ids[1:] == ids[:-1]) & (vectors[1:] == vectors[:-1]).all(axis=1)
         once = np.append(True, ~again)
-        made = index_block(ids[once], vectors[once], rows.column("longest")[0].as_py())
+        vectors = vectors[once]
+        longest = float(np.sqrt((vectors**2).sum(axis=1).max()))
+        made = index_block(ids[once], vectors, longest)
         return pa.table({
             "size": pa.array([size], pa.int32()),
+            "class": rows.column("class").slice(0, 1),
             "block": rows.column("block").slice(0, 1),
-            "longest": rows.column("longest").slice(0, 1),
+            "longest": pa.array([longest]),
             "groups": rows.column("groups").slice(0, 1),
             **{name: pa.array([value], pa.binary()) for name, value in made.items()},
         })
 
     index = stored(
-        dealt.groupBy("size", "block").applyInArrow(
-            build, "size int, block long, longest double, groups long, ids binary, "
+        dealt.groupBy("size", "class", "block").applyInArrow(
+            build, "size int, class long, block long, longest double, groups long, ids binary, "
                    "vectors binary, sorted binary, ranks binary"), "ann-index")
     blocks = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     queries = (
-        sized.filter(F.col("id") % every == 0).select(
-            "size", "id", "vector",
+        valid.filter(F.col("id") % every == 0).drop("class").join(asked, "size")
+        .join(totals, "size").select(
+            "size", "id", "vector", "class",
             F.pmod(F.xxhash64("id"), F.col("groups")).alias("group"),
             F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     )
@@ -167,8 +182,8 @@ def nearest(
         columns = [np.concatenate(c) for c in zip(*answer)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns))))
 
-    found = queries.groupBy("size", "block", "group").cogroup(
-        blocks.groupBy("size", "block", "group")).applyInArrow(
+    found = queries.groupBy("size", "class", "block", "group").cogroup(
+        blocks.groupBy("size", "class", "block", "group")).applyInArrow(
         search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
