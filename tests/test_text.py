@@ -137,3 +137,16 @@ def test_random_anagrams_share_a_hash(frame):
     words = ["".join(random.choices(string.ascii_lowercase, k=8)) for _ in range(50)]
     shuffled = ["".join(random.sample(w, len(w))) for w in words]
     assert apply(frame, anahash, words) == apply(frame, anahash, shuffled)
+
+
+def test_words_of_any_length_count(frame):
+    from wordloom.functions.anahash import anahash
+    from wordloom.functions.bags import bags_of_texts
+
+    long, longer = "a" * 300, "é" * 20_000
+    row = bags_of_texts(frame([(f"b {long} {longer} {long}",)], "text string"), max_length=None).first()
+    assert row["word_count"] == 4
+    assert {(t["wordform"], t["frequency"]) for t in row["bag"]} == {("b", 1), (long, 2), (longer, 1)}
+    words = frame([(long,), ("一" * 20_000,)], "word string")
+    hashes = [r[0] for r in words.select(anahash(words["word"])).collect()]
+    assert hashes == [300 * 101**5, None]

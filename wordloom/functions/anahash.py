@@ -15,7 +15,7 @@ def characters(word: Column) -> Column:
 
 
 def code_value(char: Column) -> Column:
-    """Fifth power of a shifted code point, capped so that 255 characters fit in a LONG."""
+    """Fifth power of a shifted code point, capped so that 9000 characters fit in a LONG."""
     base = F.least(F.ascii(char), F.lit(1000)).cast("long") + F.lit(4)
     return base * base * base * base * base
 
@@ -23,7 +23,10 @@ def code_value(char: Column) -> Column:
 def anahash(
     word: Column, alphabet: dict[str, int] | None = None, unknown: int = 0,
 ) -> Column:
-    """Hash of the lower-cased word, from an alphabet or, without one, from code points."""
+    """Hash of the lower-cased word, from an alphabet or, without one, from code points.
+
+    NULL for a word whose sum does not fit in a LONG.
+    """
     if alphabet is None:
         value = code_value
     else:
@@ -36,7 +39,7 @@ def anahash(
             return F.coalesce(F.try_element_at(table, char), F.lit(unknown).cast("long"))
 
     zero = F.lit(0).cast("long")
-    total = F.aggregate(characters(F.lower(word)), zero, lambda acc, c: acc + value(c))
+    total = F.aggregate(characters(F.lower(word)), zero, lambda acc, c: F.try_add(acc, value(c)))
     return total
 
 

@@ -43,9 +43,9 @@ def count_in_rows(df: DataFrame, token_array: str, bag: str = "bag") -> DataFram
 
 
 def bags_of_texts(
-    texts: DataFrame, text: str = "text", max_length: int = MAX_WORD_LENGTH,
+    texts: DataFrame, text: str = "text", max_length: int | None = MAX_WORD_LENGTH,
 ) -> DataFrame:
-    """One row per text: its other columns, `word_count` and `bag`."""
+    """One row per text: its other columns, `word_count` and `bag`; None keeps all words."""
     df = texts.withColumn("_tokens", tokens(F.col(text), max_length)).drop(text)
     df = df.withColumn("word_count", F.coalesce(F.size("_tokens"), F.lit(0)).cast("long"))
     return count_in_rows(df, "_tokens")

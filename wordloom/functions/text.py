@@ -34,10 +34,10 @@ COMPONENT_CODE = r"Z(\d{4})Y(\d{4})X(\d{4})W(\d{8})V(\d{4})_(\w{3})(\d{3})?"
 ARTIFICIAL_FREQUENCY = 100_000_000
 
 
-def tokens(text: Column, max_length: int = MAX_WORD_LENGTH) -> Column:
-    """The lower-cased words of a text, in order, without over-long ones."""
+def tokens(text: Column, max_length: int | None = MAX_WORD_LENGTH) -> Column:
+    """The lower-cased words of a text, in order; with None, those of any length."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
-    return F.filter(words, lambda w: F.length(w) <= max_length)
+    return words if max_length is None else F.filter(words, lambda w: F.length(w) <= max_length)
 
 
 def strip(word: Column) -> Column:

@@ -258,7 +258,8 @@ def effective_years(w: Workload):
 
 @query("SELECT document_id, wordform, frequency FROM m_attestations")
 def tokenized_corpus(w: Workload):
-    bags = bags_of_texts(spread(w.source("documents").select("doc_id", "text"), "doc_id"))
+    bags = bags_of_texts(spread(w.source("documents").select("doc_id", "text"), "doc_id"),
+                         max_length=None)
     return long_frame(bags, "doc_id").withColumnRenamed("doc_id", "document_id")
 
 
@@ -274,7 +275,7 @@ def word_list_corpus(w: Workload):
 def _english_corpus(w: Workload):
     """A corpus to add: the benchmark items, as bags keyed by `file`."""
     bags = bags_of_texts(w.source("benchmark").select(
-        F.format_string("item-%06d", "item_id").alias("file"), "text"))
+        F.format_string("item-%06d", "item_id").alias("file"), "text"), max_length=None)
     documents = bags.select(
         "file", F.col("file").alias("title"), F.lit("en").alias("language"),
         F.lit(1990).alias("pub_year"))

@@ -81,7 +81,7 @@ class Workload:
     def bags(self) -> DataFrame:
         """(doc_id, lang, source, word_count, bag): one pass over the texts, no shuffle."""
         texts = self.source("documents").select("doc_id", "lang", "source", "text")
-        return stored(bags_of_texts(spread(texts, "doc_id")), "bags")
+        return stored(bags_of_texts(spread(texts, "doc_id"), max_length=None), "bags")
 
     @cached_property
     def attestations(self) -> DataFrame:
@@ -152,7 +152,7 @@ class Workload:
     @property
     def benchmark_words(self) -> DataFrame:
         return self.source("benchmark").select(
-            F.explode(tokens(F.col("text"))).alias("wordform")).distinct()
+            F.explode(tokens(F.col("text"), None)).alias("wordform")).distinct()
 
     @cached_property
     def lexicon_words(self) -> DataFrame:
