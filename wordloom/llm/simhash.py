@@ -21,11 +21,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.columns import fresh
 from wordloom.llm.components import connected_components
-from wordloom.llm.similar import one_of_each, similarity  # noqa: F401
 from wordloom.scratch import stored
 
 BITS, BLOCK, SEED = 64, 16, 42
@@ -59,19 +59,25 @@ def fingerprint(body: bytes | None, words_in_shingle: int = 3) -> int:
 
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3,
+    key: Column | None = None,
 ) -> DataFrame:
-    """`(doc_id, fp)`; `fp` is the fingerprint as a signed long."""
+    """`(doc_id, fp)`, and the string `key` if given; `fp` is the fingerprint as a signed long."""
+    names = [id_col, "fp"] if key is None else [id_col, "fp", "key"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter(
                 (fingerprint(body.as_py(), words_in_shingle) for body in batch.column(1)),
                 np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+                [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]],
+                names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("body")).mapInArrow(
-        run, f"`{id_col}` {kind}, fp long")
+    more = [] if key is None else [key.alias("key")]
+    return docs.select(
+        id_col, F.col(text_col).cast("binary").alias("body"), *more,
+    ).mapInArrow(run, f"`{id_col}` {kind}, fp long{', key string' * len(more)}")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -335,6 +341,20 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     )
 
 
+def _component_ids(rows: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """`(fp, component_id)`, one row for each different fingerprint of `rows`."""
+    distinct = stored(
+        rows.groupBy("fp").agg(F.min(id_col).alias("low")).repartition("fp"), "distinct-fps")
+    roots = connected_components(stored(links(distinct, radius), "links"))
+    named = distinct.join(
+        roots.select(F.col("node").alias("fp"), "component"), "fp", "left",
+    ).select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    named = stored(named, "roots")
+    lowest = stored(
+        named.groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")
+    return stored(named.join(lowest, "root").select("fp", "component_id"), "known")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3,
     words_in_shingle: int = 3,
@@ -348,15 +368,32 @@ def near_duplicates(
     looked at.
     """
     rows = stored(fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
-    distinct = stored(
-        rows.groupBy("fp").agg(F.min(id_col).alias("low")).repartition("fp"), "distinct-fps")
-    roots = connected_components(stored(links(distinct, radius), "links"))
-    named = distinct.join(
-        roots.select(F.col("node").alias("fp"), "component"), "fp", "left",
-    ).select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    named = stored(named, "roots")
-    lowest = stored(
-        named.groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")
-    known = stored(named.join(lowest, "root").select("fp", "component_id"), "known")
+    known = _component_ids(rows, id_col, radius)
     return rows.join(known, "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3,
+    words_in_shingle: int = 3,
+) -> DataFrame:
+    """`docs`, with all columns, less the rows that are not the first of their component.
+
+    Components are those of `near_duplicates`; the row with the smallest id stays, and rows
+    that repeat that id and its text stay with it.  A row with a null id stays only if no row
+    of its component has one.  Null and blank texts are near copies of each other.  An empty
+    table gives no rows; other columns are not looked at, whatever their names.
+    """
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = stored(
+        fingerprints(told, "id", "text", words_in_shingle, F.md5(F.coalesce("text", F.lit("")))),
+        "fingerprints")
+    known = _component_ids(rows, "id", radius)
+    gone_id, gone_text = fresh(docs, "gone_id", "gone_text")
+    gone = stored(
+        rows.join(known, "fp").filter(~F.col("id").eqNullSafe(F.col("component_id")))
+        .select(F.col("id").alias(gone_id), F.col("key").alias(gone_text)).distinct(), "gone")
+    return docs.join(
+        gone,
+        docs[id_col].eqNullSafe(F.col(gone_id))
+        & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == F.col(gone_text)), "left_anti")
