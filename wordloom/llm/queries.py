@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import (
-    bpe, exact, hmm, licenses, neighbours, packing, secrets, simhash, toxicity, urls,
+    bpe, exact, hmm, licenses, merkle, neighbours, packing, secrets, simhash, toxicity, urls,
 )
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,10 +65,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; one in five has its letters lower-cased behind its back."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_simhash, op2_licenses, op3_bpe, op4_hmm, op5_neighbours, op6_urls, op7_secrets,
-        op8_packing, op9_exact, op10_toxicity)}
+        op8_packing, op9_exact, op10_toxicity, op13_merkle)}
 
 _OP6 = r"""
 WITH parts AS (
@@ -147,4 +153,82 @@ SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITIO
 FROM bodies WINDOW same AS (PARTITION BY body ORDER BY points DESC, doc_id)
 """
 
-ORACLE_SQL = {"op6_urls": _OP6, "op7_secrets": _OP7, "op9_exact": _OP9}
+# Enough for 16 ** 8 leaves a source and as many sources.
+_MERKLE_LEVELS = 8
+
+
+def _field_sql(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def _merkle_tree(name: str, key: str, leaves: str) -> str:
+    """CTEs `{name}_0` to `{name}_8`: a level's nodes with the hashes beside them, and whether the
+    level has a single node."""
+    run = f"PARTITION BY {key}, rank // 16 ORDER BY rank"
+    sides = f"""
+        coalesce(string_agg(hash, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lhs,
+        coalesce(string_agg(hash, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rhs,
+        count(*) OVER (PARTITION BY {key}) = 1 AS top"""
+    parts = [f"{name}_0 AS (SELECT *, {sides} FROM {leaves})"]
+    for level in range(1, _MERKLE_LEVELS + 1):
+        parts.append(f"""{name}_{level} AS (SELECT *, {sides} FROM (
+            SELECT {key}, rank // 16 AS rank,
+                CASE WHEN bool_or(top) THEN min(hash)
+                    ELSE sha256(string_agg(hash, '' ORDER BY rank)) END AS hash
+            FROM {name}_{level - 1} GROUP BY {key}, rank // 16))""")
+    return ",\n".join(parts)
+
+
+def _merkle_folds(start: str, tree: str, key: str, name: str) -> str:
+    """CTEs that fold each row of `start` up the tree: `folded` and the siblings in `said`."""
+    parts = []
+    for level in range(_MERKLE_LEVELS):
+        parts.append(f"""{name}_{level + 1} AS (
+            SELECT f.* REPLACE (
+                CASE WHEN n.top THEN f.folded ELSE sha256(n.lhs || f.folded || n.rhs) END AS folded,
+                CASE WHEN n.top THEN f.said ELSE f.said || n.lhs || n.rhs END AS said)
+            FROM {start if level == 0 else f'{name}_{level}'} f JOIN {tree}_{level} n
+            ON f.{key} IS NOT DISTINCT FROM n.{key} AND f.{key}_rank // {16 ** level} = n.rank)""")
+    return ",\n".join(parts)
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+# The checksum bit by bit: each bit of each byte, the lowest first.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+        string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda ch: list_transform(range(8), lambda b: (unicode(ch) >> b::INTEGER) & 1)))),
+        lambda crc, bit: xor(crc >> 1, CASE WHEN xor(crc, bit) & 1 = 1 THEN 3988292384 ELSE 0 END)),
+    4294967295)"""
+
+_OP13 = f"""
+WITH hashed AS (
+  SELECT doc_id, source, sha256({" || ".join(map(_field_sql, _FIELDS))}) AS hash,
+    CASE WHEN {_CRC32} % 5 = 0 THEN
+      sha256({" || ".join(_field_sql(_LOWERED if c == "text" else c) for c in _FIELDS)})
+    END AS tampered
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, hash) - 1 AS rank
+  FROM hashed),
+{_merkle_tree("low", "source", "(SELECT source, rank, hash FROM leaves)")},
+subroots AS (
+  SELECT 0 AS everything, source, hash, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank
+  FROM low_{_MERKLE_LEVELS}),
+{_merkle_tree("high", "everything", "(SELECT everything, rank, hash FROM subroots)")},
+begun AS (
+  SELECT doc_id, source, hash AS leaf, rank AS source_rank, coalesce(tampered, hash) AS folded,
+    '' AS said FROM leaves),
+{_merkle_folds("begun", "low", "source", "climbed")},
+arrived AS (
+  SELECT c.*, 0 AS everything, s.rank AS everything_rank, s.hash AS subroot
+  FROM climbed_{_MERKLE_LEVELS} c JOIN subroots s ON c.source IS NOT DISTINCT FROM s.source),
+{_merkle_folds("arrived", "high", "everything", "ended")}
+SELECT doc_id, leaf, subroot, root.hash AS root, sha256(said) AS proof_sha256,
+  folded AS folded_root, folded = root.hash AS verified
+FROM ended_{_MERKLE_LEVELS}, (SELECT hash FROM high_{_MERKLE_LEVELS}) root
+"""
+
+ORACLE_SQL = {
+    "op6_urls": _OP6, "op7_secrets": _OP7, "op9_exact": _OP9, "op13_merkle": _OP13}
