@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import (
     bpe, exact, hmm, licenses, merkle, neighbours, packing, secrets, simhash, toxicity, urls,
+    whitening,
 )
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents; one in five has its letters lower-cased behind its back."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -74,7 +79,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_simhash, op2_licenses, op3_bpe, op4_hmm, op5_neighbours, op6_urls, op7_secrets,
-        op8_packing, op9_exact, op10_toxicity, op13_merkle)}
+        op8_packing, op9_exact, op10_toxicity, op11_whitening,
+        op13_merkle)}
 
 _OP6 = r"""
 WITH parts AS (
