@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import (
-    bpe, exact, hmm, licenses, merkle, neighbours, packing, secrets, simhash, toxicity, urls,
-    whitening,
+    bpe, exact, hmm, language, licenses, merkle, neighbours, packing, secrets, simhash,
+    toxicity, urls, whitening,
 )
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +70,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents; one in five has its letters lower-cased behind its back."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -80,7 +84,7 @@ QUERIES = {
     f.__name__: f for f in (
         op1_simhash, op2_licenses, op3_bpe, op4_hmm, op5_neighbours, op6_urls, op7_secrets,
         op8_packing, op9_exact, op10_toxicity, op11_whitening,
-        op13_merkle)}
+        op12_language, op13_merkle)}
 
 _OP6 = r"""
 WITH parts AS (
