@@ -7,45 +7,58 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import effective_year
 from wordloom.model import Model
-from wordloom.operators.lookup import Words, for_words
+from wordloom.operators.lookup import MAX_LISTED, Words
+from wordloom.operators.marks import (
+    each_corpus, in_corpus, marked, number_of_corpora, summed_by_corpus,
+)
 
 
 def _rows() -> Column:
     return F.count(F.lit(1))
 
 
-def _in_corpora(rows: DataFrame, model: Model, corpus_name: str | None = None) -> DataFrame:
-    """Rows with a document, once per corpus of the document, with the corpus `name`.
+def _one() -> Column:
+    return F.lit(1).cast("long")
+
+
+def _by_name(
+    rows: DataFrame, model: Model, keys: list[str], sums: dict[str, Column],
+) -> DataFrame:
+    """`(keys, name, sums)` of marked attestations, once per corpus of the document."""
+    return (
+        summed_by_corpus(rows, keys, sums).join(model.corpora, "corpus_id")
+        .groupBy(*keys, "name").agg(*[F.sum(name).alias(name) for name in sums])
+    )
 
-    The small tables join one after the other, or by a semi join: the size Spark estimates for
-    an inner join of two of them is their product, and would make it broadcast the rows.
-    """
-    if corpus_name is None:
-        return rows.join(model.corpus_documents, "document_id").join(
-            model.corpora, "corpus_id").drop("corpus_id")
-    corpus = model.corpora.filter(F.col("name") == corpus_name)
-    members = model.corpus_documents.join(corpus, "corpus_id", "left_semi")
-    return rows.join(members.select("document_id"), "document_id").withColumn(
-        "name", F.lit(corpus_name))
+
+def corpora_named(model: Model, corpus_name: str) -> list[int]:
+    """The ids of that name, nearly always one; they become literals that are tested row by row."""
+    found = model.corpora.filter(F.col("name") == corpus_name).select("corpus_id").limit(
+        MAX_LISTED + 1).collect()
+    if len(found) > MAX_LISTED:
+        raise ValueError(f"over {MAX_LISTED} corpora are named {corpus_name!r}")
+    return [row["corpus_id"] for row in found]
+
+
+def _of_corpus(rows: DataFrame, model: Model, corpus_name: str) -> tuple[DataFrame, Column]:
+    """The marked attestations of one corpus, and how often each counts: once for each corpus
+    of that name."""
+    times = sum((in_corpus(i) for i in corpora_named(model, corpus_name)), F.lit(0).cast("long"))
+    return rows.filter(times > 0), times
 
 
 def word_in_corpora(model: Model, words: Words = None) -> DataFrame:
     """Per word and corpus: rows of documents and occurrences."""
-    return (
-        _in_corpora(for_words(model.attestations, words), model)
-        .groupBy("wordform", "name")
-        .agg(_rows().alias("document_frequency"), F.sum("frequency").alias("term_frequency"))
-    )
+    return _by_name(marked(model, words), model, ["wordform"], {
+        "document_frequency": _one(), "term_frequency": F.col("frequency")})
 
 
 def word_in_corpus_over_time(model: Model, corpus_name: str, words: Words = None) -> DataFrame:
     """Per word and publication year (which may be unknown) within one corpus."""
-    members = _in_corpora(for_words(model.attestations, words), model, corpus_name)
-    return (
-        members.join(model.documents.select("document_id", "pub_year"), "document_id")
-        .groupBy("wordform", "pub_year")
-        .agg(_rows().alias("document_frequency"), F.sum("frequency").alias("term_frequency"))
-    )
+    members, times = _of_corpus(marked(model, words), model, corpus_name)
+    return members.groupBy("wordform", "pub_year").agg(
+        F.sum(times).alias("document_frequency"),
+        F.sum(F.col("frequency") * times).alias("term_frequency"))
 
 
 def year_range(model: Model) -> DataFrame:
@@ -69,21 +82,14 @@ def word_in_corpora_over_time(
     `total` is the size of the documents that contain the word; `freq` the share of the word in
     them; `rel_corpus_frequency` the share of the year in the word's corpus total.
     """
-    documents = model.documents.select("document_id", "word_count", "pub_year").filter(
-        F.col("pub_year").isNotNull())
+    rows = marked(model, words).filter(F.col("pub_year").isNotNull())
     if start is not None:
-        documents = documents.filter(F.col("pub_year") >= start)
+        rows = rows.filter(F.col("pub_year") >= start)
     if end is not None:
-        documents = documents.filter(F.col("pub_year") <= end)
-    dated = for_words(model.attestations, words).join(documents, "document_id")
-    yearly = (
-        _in_corpora(dated, model)
-        .groupBy("wordform", "name", F.col("pub_year").alias("year"))
-        .agg(
-            _rows().alias("document_frequency"), F.sum("frequency").alias("term_frequency"),
-            F.sum("word_count").alias("total"),
-        )
-    )
+        rows = rows.filter(F.col("pub_year") <= end)
+    yearly = _by_name(rows, model, ["wordform", "pub_year"], {
+        "document_frequency": _one(), "term_frequency": F.col("frequency"),
+        "total": F.col("word_count")}).withColumnRenamed("pub_year", "year")
     # One row per year by now, so a window holds at most as many rows as there are years.
     corpus_total = F.sum("term_frequency").over(Window.partitionBy("wordform", "name"))
     return yearly.withColumn("total_number_of_words", corpus_total).withColumns({
@@ -121,18 +127,11 @@ def series_metadata(
 
 def relative_series(model: Model, words: Words = None) -> DataFrame:
     """Occurrences per hundred words, per word, corpus and publication year, known or not."""
-    dated = for_words(model.attestations, words).join(
-        model.documents.select("document_id", "word_count", "pub_year"), "document_id")
-    return (
-        _in_corpora(dated, model)
-        .groupBy("wordform", "name", "pub_year")
-        .agg(
-            _rows().alias("document_frequency"), F.sum("frequency").alias("term_frequency"),
-            F.sum("word_count").alias("num_words"),
-        )
-        .withColumn("normalized_term_frequency", F.try_divide(
-            F.col("term_frequency"), F.col("num_words")) * 100)
-    )
+    yearly = _by_name(marked(model, words), model, ["wordform", "pub_year"], {
+        "document_frequency": _one(), "term_frequency": F.col("frequency"),
+        "num_words": F.col("word_count")})
+    return yearly.withColumn("normalized_term_frequency", F.try_divide(
+        F.col("term_frequency"), F.col("num_words")) * 100)
 
 
 def dated_documents(model: Model) -> DataFrame:
@@ -148,24 +147,14 @@ def word_frequency_per_year(
     The denominator is the size of the documents that contain the word.  A document counts
     once for every corpus it is in: that number is multiplied in, not produced as rows.
     """
-    documents = dated_documents(model).filter(F.col("year").isNotNull())
-    members = model.corpus_documents
-    if corpus_id is not None:
-        members = members.filter(F.col("corpus_id") == corpus_id)
-    copies = members.groupBy("document_id").agg(_rows().alias("copies"))
-    dated = for_words(model.attestations, words).join(documents, "document_id")
+    rows = marked(model, words).filter(F.col("year").isNotNull())
     if corpus_id is not None:
-        dated = dated.join(copies, "document_id")
+        rows, copies = rows.filter(in_corpus(corpus_id) > 0), _one()
     else:
-        dated = dated.join(copies, "document_id", "left").withColumn(
-            "copies", F.coalesce("copies", F.lit(1).cast("long")))
-    sums = (
-        dated.groupBy("wordform", "year")
-        .agg(
-            F.sum(F.col("frequency") * F.col("copies")).alias("f"),
-            F.sum(F.col("word_count") * F.col("copies")).alias("n"),
-        )
-    )
+        copies = F.greatest(number_of_corpora(), _one())
+    sums = rows.groupBy("wordform", "year").agg(
+        F.sum(F.col("frequency") * copies).alias("f"),
+        F.sum(F.col("word_count") * copies).alias("n"))
     return sums.select(
         "wordform", "year",
         F.try_divide(F.lit(1e9) * F.col("f"), F.col("n")).alias("normalized_frequency"),
@@ -174,13 +163,12 @@ def word_frequency_per_year(
 
 def word_frequency_per_corpus(model: Model, words: Words = None) -> DataFrame:
     """Occurrences per thousand million words, by corpus; NULL for documents in none."""
+    sums = summed_by_corpus(marked(model, words), ["wordform"], {
+        "f": F.col("frequency"), "n": F.col("word_count")}, outer=True)
     return (
-        for_words(model.attestations, words)
-        .join(model.documents.select("document_id", "word_count"), "document_id", "left")
-        .join(model.corpus_documents, "document_id", "left")
-        .join(model.corpora, "corpus_id", "left")
+        sums.join(model.corpora, "corpus_id", "left")
         .groupBy("wordform", "corpus_id", F.col("name").alias("corpus_name"))
-        .agg(F.sum("frequency").alias("f"), F.sum("word_count").alias("n"))
+        .agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
         .select(
             "wordform", "corpus_name",
             F.try_divide(F.lit(1e9) * F.col("f"), F.col("n")).alias("relative_frequency"),
@@ -226,26 +214,18 @@ def word_count_per_year(model: Model) -> DataFrame:
 
 def words_in_min_corpora(model: Model, num: int = 2) -> DataFrame:
     """Words that occur in at least `num` corpora."""
+    blocks = marked(model).select("wordform", F.inline("corpora"))
     return (
-        model.attestations.join(model.corpus_documents, "document_id")
-        .select("wordform", "corpus_id").distinct()
-        .groupBy("wordform").agg(_rows().alias("num_corpora"))
+        blocks.groupBy("wordform", "block").agg(F.bit_or("bits").alias("bits"))
+        .groupBy("wordform").agg(F.sum(F.bit_count("bits")).alias("num_corpora"))
         .filter(F.col("num_corpora") >= num)
     )
 
 
-def _titled(model: Model, corpus_name: str) -> DataFrame:
-    """(title, wordform) rows of one corpus."""
-    corpus = model.corpora.filter(F.col("name") == corpus_name)
-    members = model.corpus_documents.join(corpus, "corpus_id", "left_semi")
-    documents = model.documents.select("document_id", "title").join(
-        members, "document_id", "left_semi")
-    return model.attestations.join(documents, "document_id").select("title", "wordform")
-
-
 def words_per_document(model: Model, corpus_name: str) -> DataFrame:
     """Distinct words by document title."""
-    return _titled(model, corpus_name).distinct()
+    members, _ = _of_corpus(marked(model), model, corpus_name)
+    return members.select("title", "wordform").distinct()
 
 
 def count_words_per_document(model: Model, corpus_name: str) -> DataFrame:
@@ -280,7 +260,9 @@ def lexicon_coverage(model: Model, corpus_name: str, lexicon_name: str) -> DataF
 
 def words_of_corpora(model: Model) -> DataFrame:
     """Distinct (wordform, corpus name)."""
-    return _in_corpora(model.attestations, model).select("wordform", "name").distinct()
+    sets = marked(model).select("wordform", "corpora").distinct()
+    return each_corpus(sets).join(model.corpora, "corpus_id").select(
+        "wordform", "name").distinct()
 
 
 def count_unique_words_per_corpus(model: Model, corpus_name: str | None = None) -> DataFrame:
@@ -288,10 +270,12 @@ def count_unique_words_per_corpus(model: Model, corpus_name: str | None = None)
 
     Summed per word first: the second aggregation counts rows and needs no distinct.
     """
-    per_word = (
-        _in_corpora(model.attestations, model, corpus_name)
-        .groupBy("name", "wordform").agg(F.sum("frequency").alias("f"))
-    )
+    if corpus_name is None:
+        per_word = _by_name(marked(model), model, ["wordform"], {"f": F.col("frequency")})
+    else:
+        members, times = _of_corpus(marked(model), model, corpus_name)
+        per_word = members.groupBy("wordform").agg(
+            F.sum(F.col("frequency") * times).alias("f")).withColumn("name", F.lit(corpus_name))
     return per_word.groupBy("name").agg(
         _rows().alias("num_wordforms"), F.sum("f").alias("total_wordforms"))
 

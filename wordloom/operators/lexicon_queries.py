@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.model import Model
+from wordloom.operators.corpus_queries import corpora_named
 from wordloom.operators.links import LINK
 from wordloom.operators.lookup import Words, for_words
+from wordloom.operators.marks import in_corpus, marked
 from wordloom.scratch import stored
 
 
@@ -43,11 +48,11 @@ def words_in_lexicon_and_corpus(
     model: Model, lexicon_name: str, corpus_name: str,
 ) -> DataFrame:
     """The intersection of a lexicon and the words of a corpus."""
-    corpus = model.corpora.filter(F.col("name") == corpus_name)
-    members = model.corpus_documents.join(corpus, "corpus_id", "left_semi")
-    attested = model.attestations.join(members, "document_id", "left_semi")
-    return words_of_lexicon(model, lexicon_name).distinct().join(
-        attested, "wordform", "left_semi")
+    wanted = words_of_lexicon(model, lexicon_name).distinct()
+    attested = reduce(or_, (
+        in_corpus(i) > 0 for i in corpora_named(model, corpus_name)), F.lit(False))
+    attested = marked(model).filter(attested).select("wordform")
+    return wanted.join(attested, "wordform", "left_semi")
 
 
 def lexicon_size(model: Model) -> DataFrame:
@@ -127,11 +132,8 @@ def linked_words_in_corpus(
     # Written first: its true size is known when the attestations are joined, so a few words
     # are broadcast by Spark's own size check and the attestations are only scanned.
     linked = stored(linked_words(model, words, lexicon_id), "linked")
-    members = model.corpus_documents.filter(F.col("corpus_id") == corpus_id)
     frequencies = (
-        model.attestations
-        .join(linked.select(F.col("wordform_to").alias("wordform")), "wordform", "left_semi")
-        .join(members, "document_id")
+        marked(model, linked.select("wordform_to")).filter(in_corpus(corpus_id) > 0)
         .groupBy(F.col("wordform").alias("wordform_to"))
         .agg(F.sum("frequency").alias("f"))
     )

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import effective_year, paradigm_code
+from wordloom.functions.text import paradigm_code
 from wordloom.model import Model
 from wordloom.operators.corpus_queries import word_in_corpora_over_time, year_bound
 from wordloom.operators.lexicon_queries import corrections
 from wordloom.operators.lookup import Words, for_words, is_listed
+from wordloom.operators.marks import each_corpus, marked
 from wordloom.scratch import stored
 
 CODES = ["Z", "Y", "X", "W"]
@@ -73,16 +74,12 @@ def variants_for_lemma(
     # scanned, not shuffled, when the forms are few.
     forms = stored(forms, "forms")
     words = stored(forms.select("wordform").distinct(), "form-words")
-    documents = model.documents.select("document_id", effective_year().alias("year"))
-    mine = model.attestations.join(words, "wordform", "left_semi")
+    mine = marked(model, words)
+    by_set = mine.groupBy("wordform", "corpora").agg(
+        F.sum("frequency").alias("f"), F.min("year").alias("first"), F.max("year").alias("last"))
     # Per word and corpus first: the second step counts corpora without a distinct.
-    per_corpus = (
-        mine.join(documents, "document_id", "left")
-        .join(model.corpus_documents, "document_id", "left")
-        .groupBy("wordform", "corpus_id")
-        .agg(F.sum("frequency").alias("f"), F.min("year").alias("first"),
-             F.max("year").alias("last"))
-    )
+    per_corpus = each_corpus(by_set, outer=True).groupBy("wordform", "corpus_id").agg(
+        F.sum("f").alias("f"), F.min("first").alias("first"), F.max("last").alias("last"))
     attested = per_corpus.groupBy("wordform").agg(
         F.sum("f").alias("per_corpus"), F.count("corpus_id").alias("num_corpora"),
         F.min("first").alias("min_year"), F.max("last").alias("max_year"))

@@ -17,6 +17,7 @@ from wordloom.functions.anahash import anahash
 from wordloom.functions.bags import bags_of_texts, long_frame
 from wordloom.functions.text import component_code, paradigm_code, tokens
 from wordloom.model import Model
+from wordloom.operators.marks import MARKS, Marked, document_marks
 from wordloom.operators.links import LINK, both_directions, link_sources
 from wordloom.operators.ranks import numbered
 from wordloom.schema import MODEL
@@ -83,10 +84,26 @@ class Workload:
         texts = self.source("documents").select("doc_id", "lang", "source", "text")
         return stored(bags_of_texts(spread(texts, "doc_id"), max_length=None), "bags")
 
+    @cached_property
+    def marked_rows(self) -> DataFrame:
+        """Attestations with the marks of their documents.
+
+        The bags, one row a document, meet the marks; exploded after that, the rows are laid
+        out by word, and no query joins them with documents or corpora again.
+        """
+        bags = self.bags.select(F.col("doc_id").alias("document_id"), "bag")
+        rows = long_frame(
+            bags.join(document_marks(self), "document_id"), "document_id", *MARKS)
+        rows = rows.select("wordform", "document_id", "frequency", *MARKS)
+        return stored(by_word(rows), "marked")
+
     @cached_property
     def attestations(self) -> DataFrame:
-        rows = long_frame(self.bags, "doc_id").withColumnRenamed("doc_id", "document_id")
-        return stored(by_word(conform(rows, "attestations")), "attestations")
+        return conform(self.marked_rows, "attestations")
+
+    @cached_property
+    def marked(self) -> Marked:
+        return Marked.of(self.marked_rows, self)
 
     @cached_property
     def vocabulary(self) -> DataFrame:
@@ -251,7 +268,7 @@ class Workload:
         return conform(lemmas.select("wordform", F.inline(ids)), "external_links")
 
     def model(self) -> Model:
-        return Model(**{name: getattr(self, name) for name in MODEL})
+        return Model(**{name: getattr(self, name) for name in MODEL}, marked=self.marked)
 
     @cached_property
     def lemma_db(self) -> dict[str, DataFrame]:
