@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import MAX_WORD_LENGTH, tokens
+from wordloom.functions.text import tokens
 
 
 def _shifted(array: str, step: int, filler: Column) -> Column:
@@ -43,9 +43,10 @@ def count_in_rows(df: DataFrame, token_array: str, bag: str = "bag") -> DataFram
 
 
 def bags_of_texts(
-    texts: DataFrame, text: str = "text", max_length: int | None = MAX_WORD_LENGTH,
+    texts: DataFrame, text: str = "text", max_length: int | None = None,
 ) -> DataFrame:
-    """One row per text: its other columns, `word_count` and `bag`; None keeps all words."""
+    """One row per text: its other columns, `word_count` and `bag`; longer words than
+    `max_length`, if given, are left out."""
     df = texts.withColumn("_tokens", tokens(F.col(text), max_length)).drop(text)
     df = df.withColumn("word_count", F.coalesce(F.size("_tokens"), F.lit(0)).cast("long"))
     return count_in_rows(df, "_tokens")

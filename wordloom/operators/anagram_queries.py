@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.model import Model
+from wordloom.operators.bloom import Bloom
 from wordloom.operators.lexicon_queries import word_links
 from wordloom.operators.lookup import Words, for_words
 from wordloom.operators.paradigm_queries import morph_links
@@ -13,8 +14,8 @@ from wordloom.operators.ranks import ranked
 from wordloom.scratch import stored
 
 
-# A longer confusion list is refused: it travels as one array.
-MAX_CONFUSIONS = 1_000_000
+# Hashes and confusions that travel as one array.
+DEALT = 4096
 
 
 def anahash_of_word(model: Model, words: Words) -> DataFrame:
@@ -53,25 +54,53 @@ def word_card(model: Model, words: Words) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, column: str, group: str) -> tuple[DataFrame, int]:
+    """Distinct values as arrays of about `DEALT`, numbered from 0, and how many."""
+    values = stored(rows.select(F.col(column).cast("long").alias(column)).filter(
+        F.col(column).isNotNull()).distinct(), "dealt")
+    groups = max(1, -(-values.count() // DEALT))
+    return values.groupBy(F.pmod(F.xxhash64(column), F.lit(groups)).alias(group)).agg(
+        F.collect_list(column).alias(f"{column}_list")), groups
+
+
+def shifts_to_known(
+    hashes: DataFrame, words: DataFrame, confusions: DataFrame,
+) -> DataFrame:
+    """(anahash, confusion, target): every hash moved by every confusion, without those whose
+    target is no word's hash for sure.
+
+    Hashes and confusions are dealt in arrays, and each pair of arrays is a row of its own; a task
+    generates the shifts of its pairs and tests each with a Bloom filter of all words' hashes at
+    once, so what leaves it is near the number of true hits, however long the lists.
+    """
+    known = stored(words.select("anahash").filter("anahash is not null").distinct(), "known")
+    passes = Bloom(known, "anahash")
+    origins, _ = _dealt(hashes, "anahash", "origin")
+    steps, chunks = _dealt(confusions, "confusion", "chunk")
+    pairs = origins.withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    return (
+        pairs.join(steps, "chunk").repartition("origin", "chunk")
+        .select(F.explode("anahash_list").alias("anahash"), "confusion_list")
+        .select("anahash", F.explode("confusion_list").alias("confusion"))
+        .withColumn("target", F.try_add("anahash", "confusion"))
+        .filter(passes.may_have(F.col("target")))
+    )
+
+
 def _shifted_to_words(hashes: DataFrame, words: DataFrame, confusions: DataFrame) -> DataFrame:
     """(anahash, confusion, wordform): every hash moved by every confusion to known words."""
-    listed = F.collect_set("confusion")
-    too_long = F.raise_error(F.lit(f"more than {MAX_CONFUSIONS} confusions"))
-    shifts = confusions.agg(
-        F.when(F.size(listed) <= MAX_CONFUSIONS, F.sort_array(listed)).otherwise(too_long)
-        .alias("shifts")).scalar()
-    targets = hashes.withColumn("shifts", shifts).select(
-        "anahash", F.explode("shifts").alias("confusion"),
-    ).withColumn("target", F.col("anahash") + F.col("confusion"))
     known = words.select(F.col("anahash").alias("target"), "wordform")
-    return targets.join(known, "target").select("anahash", "confusion", "wordform")
+    return shifts_to_known(hashes, words, confusions).join(known, "target").select(
+        "anahash", "confusion", "wordform")
 
 
 def confusion_neighbours(model: Model, confusions: DataFrame) -> DataFrame:
     """(anahash, confusion, wordform): words one listed confusion away from a hash.
 
     Runs on distinct hashes for the whole vocabulary at once: each hash is shifted by every
-    confusion and equi-joined to the words.  The words that start from a hash are its anagrams,
+    confusion, tested with a Bloom filter, and equi-joined to the words.  `confusions` is a table of any
+    length, such as the distinct ones of an index; repeated and NULL ones add nothing.  The words that start from a hash are its anagrams,
     which `anahash_links` lists; pairs of words are not formed, so a large anagram class stays
     linear.
     """

@@ -288,7 +288,7 @@ ITEMS = """
     WITH bags AS (
         SELECT item_id, wordform, count(*)::BIGINT AS frequency FROM (
             SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS wordform
-            FROM benchmark) WHERE length(wordform) <= 255 GROUP BY ALL),
+            FROM benchmark) GROUP BY ALL),
     numbered AS (SELECT item_id, 999999999 + row_number() OVER (
                      ORDER BY printf('item-%06d', item_id)) AS document_id FROM benchmark)
 """

@@ -13,6 +13,7 @@ from wordloom.operators import corpora, lexica, words
 from wordloom.schema import MODEL
 from wordloom.scratch import stored
 from wordloom.sources import frequency_files, paradigm_files, variant_files, word_lists
+from wordloom.sources.stored_model import StoredModel
 
 Additions = dict[str, DataFrame]
 Loader = Callable[[SparkSession, list[str], Model], Additions]
@@ -130,6 +131,31 @@ def ingest(
     return replace(model, words=table)
 
 
+def ingest_into(
+    store: StoredModel, base: str, include: Sequence[str] | None = None,
+    exclude: Sequence[str] | None = None, paths: dict[str, Sequence[str]] | None = None,
+    hash_words: bool = True, reset_hashes: bool = False,
+    alphabet: dict[str, int] | None = None, load: str = "load",
+) -> Model:
+    """Load sources into a stored model, each as one change named after `load` and the source.
+
+    A job that starts anew after a failure goes on with the first source that is not loaded; to
+    load a source a second time, give another name of the load.
+    """
+    for name, source in chosen_sources(include, exclude).items():
+        where = [os.path.join(base, p) for p in (paths or {}).get(name, source.paths)]
+
+        def additions(model: Model, name=name, source=source, where=where) -> Additions:
+            return {
+                table: stored(rows, f"{name}-{table}")
+                for table, rows in source.load(store.spark, where, model).items()}
+
+        store.add(f"{load} {name}", additions, source.replaces)
+    if hash_words or reset_hashes:
+        store.fill_anahashes(f"{load} hashes", alphabet, reset_hashes)
+    return store.model()
+
+
 def model_rows(model: Model, table: str, emptied: bool) -> DataFrame:
     rows = getattr(model, table)
     return corpora.empty(rows) if emptied else rows

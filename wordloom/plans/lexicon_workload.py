@@ -10,10 +10,12 @@ from wordloom.operators import corpora as build
 from wordloom.operators import lexica, links, search, words
 from wordloom.operators import lexicon_queries as q
 from wordloom.plans.corpus_workload import LOOKUPS
+from wordloom.plans.ingest import empty_model
 from wordloom.plans.oracle import edit_distance, hash_of
 from wordloom.plans.registry import query
 from wordloom.plans.workload import VARIANT_LEXICON, Workload
 from wordloom.scratch import new_path
+from wordloom.sources.stored_model import StoredModel
 from wordloom.sources.tables import append
 
 # Raw entries to clean: the names in `part` and the titles in `customer`, padded and joined.
@@ -407,6 +409,56 @@ def deleted_lexicon(w: Workload):
         "lexica", "lexicon_words", "link_sources", "links", "words"))
 
 
+# Changes to a model on disk.
+
+@query(f"""
+    WITH w AS (SELECT DISTINCT wordform FROM ({ENTRIES})),
+    plan AS (SELECT wordform, translate(trim(wordform), '_ ', '*_') AS target FROM w),
+    chosen AS (SELECT target, min(wordform) AS wordform FROM plan
+               WHERE wordform <> target AND target <> ''
+               AND target NOT IN (SELECT wordform FROM w) GROUP BY target)
+    SELECT coalesce(c.target, w.wordform) AS wordform,
+           lower(coalesce(c.target, w.wordform)) AS wordform_lowercase, 7::BIGINT AS lexicon_id
+    FROM w LEFT JOIN chosen c ON w.wordform = c.wordform""")
+def stored_words_normalized(w: Workload):
+    """Words and a lexicon of them on disk, respelled in place, and once more by the same name."""
+    entries = raw_entries(w).distinct().select(
+        "wordform", F.lower("wordform").alias("wordform_lowercase"),
+        F.lit(None).cast("long").alias("anahash"))
+    model = replace(
+        empty_model(w.spark), words=entries, lexicon_words=entries.select(
+            F.lit(7).cast("long").alias("lexicon_id"), "wordform"))
+    store = StoredModel.create(
+        w.spark, new_path(w.spark, "stored-model"), model, parts=4)
+    store.normalize_words("clean")
+    store.normalize_words("clean")
+    return store.rows("words").select("wordform", "wordform_lowercase").join(
+        store.rows("lexicon_words"), "wordform")
+
+
+@query("""
+    SELECT l.lexicon_id, l.lexicon_name, count(lw.wordform)::BIGINT AS num_words
+    FROM (SELECT * FROM m_lexica UNION ALL SELECT 77, 'added', true) l
+    LEFT JOIN (SELECT * FROM m_lexicon_words
+               UNION ALL SELECT 77, wordform FROM m_benchmark_words) lw
+    ON l.lexicon_id = lw.lexicon_id
+    WHERE l.lexicon_id <> 9 GROUP BY l.lexicon_id, l.lexicon_name""")
+def stored_lexica_changed(w: Workload):
+    """Lexica on disk: one added and one deleted in place, each change tried twice."""
+    model = replace(
+        empty_model(w.spark), words=w.words, lexica=w.lexica, lexicon_words=w.lexicon_words)
+    store = StoredModel.create(
+        w.spark, new_path(w.spark, "stored-model"), model, parts=4)
+    for _ in range(2):
+        store.add_lexicon("add", "added", True, w.benchmark_words, lexicon_id=77)
+        store.delete_lexicon("delete", VARIANT_LEXICON)
+    counts = store.rows("lexicon_words").groupBy("lexicon_id").agg(
+        F.count(F.lit(1)).alias("num_words"))
+    return store.rows("lexica").join(counts, "lexicon_id", "left").select(
+        "lexicon_id", "lexicon_name",
+        F.coalesce("num_words", F.lit(0).cast("long")).alias("num_words"))
+
+
 # Search.
 
 @query("""

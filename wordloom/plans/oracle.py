@@ -23,8 +23,7 @@ CTES = {
         SELECT doc_id, lang, source, wordform FROM (
             SELECT doc_id, lang, source,
                    unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS wordform
-            FROM documents)
-        WHERE length(wordform) <= 255""",
+            FROM documents)""",
     "m_attestations": """
         SELECT doc_id AS document_id, wordform, count(*)::BIGINT AS frequency
         FROM m_tokens GROUP BY doc_id, wordform""",
@@ -60,7 +59,7 @@ CTES = {
     "m_benchmark_words": """
         SELECT DISTINCT wordform FROM (
             SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS wordform
-            FROM benchmark) WHERE length(wordform) <= 255""",
+            FROM benchmark)""",
     "m_lexicon_words": """
         SELECT 1::BIGINT AS lexicon_id, wordform FROM m_benchmark_words
         UNION ALL SELECT (unicode(lang[1]) * 1000 + unicode(lang[2]))::BIGINT, wordform

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.anahash import anahash
 from wordloom.functions.bags import long_frame
 from wordloom.operators import cleaning
+from wordloom.operators.anagram_queries import confusion_neighbours
 from wordloom.operators.corpora import add_corpus
 from wordloom.operators.corpus_queries import cardinalities
-from wordloom.operators.ranks import numbered
+from wordloom.operators.ranks import numbered, ranked
 from wordloom.plans import ingest
 from wordloom.plans.cleaning_workload import clean_sql
+from wordloom.plans.oracle import hash_of
 from wordloom.plans.registry import query, rounded
 from wordloom.plans.workload import Workload, source_number
 from wordloom.scratch import new_path
@@ -71,6 +74,24 @@ def clean_files(w: Workload) -> str:
     return _bag_files(w, "clean", file, "none")
 
 
+def year_files(w: Workload) -> str:
+    """Files of all languages, each named with its year."""
+    return _bag_files(w, "years", F.concat(
+        "source", F.lit("-"), "lang", F.lit("."), F.lit(1800) + source_number(),
+        F.lit(".clean")), "none")
+
+
+def span_files(w: Workload) -> str:
+    """Files of all languages: the English ones with a span of years, the Spanish ones marked."""
+    n = source_number()
+    english = F.col("lang") == "en"
+    return _bag_files(w, "spans", F.concat(
+        F.when(F.col("lang") == "es", F.lit("LIM-")).otherwise(F.lit("")),
+        "source", F.lit("-"), "lang", F.lit("."), F.lit(1800) + n,
+        F.when(english, F.concat(F.lit("+"), n % 3, F.lit("_01"))).otherwise(F.lit("")),
+        F.lit(".clean")), "none")
+
+
 GROUPS = """
     WITH counts AS (
         SELECT source, lang, wordform, count(*)::BIGINT AS frequency,
@@ -114,30 +135,35 @@ def _corpus(w: Workload, layout: str, paths: str) -> DataFrame:
         "title", "language", "year_from", "year_to", "pub_year", "word_count")
 
 
-EXACT = """
-    SELECT title, 'nl' AS language, NULL::BIGINT AS year_from, NULL::BIGINT AS year_to,
-           1800 + n AS pub_year, word_count
-    FROM per_file WHERE lang IN ('de', 'es')"""
-
-
-@query(GROUPS + EXACT)
+@query(GROUPS + """
+    SELECT source || '-' || lang || '.' || (1800 + n) AS title, 'nl' AS language,
+           NULL::BIGINT AS year_from, NULL::BIGINT AS year_to, 1800 + n AS pub_year,
+           sum(frequency)::BIGINT AS word_count
+    FROM counts GROUP BY source, lang, n""")
 def sgd_corpus(w: Workload):
-    return _corpus(w, "sgd", clean_files(w) + "/file=*.1[0-9][0-9][0-9].clean")
+    return _corpus(w, "sgd", year_files(w))
 
 
-@query(GROUPS + EXACT)
+@query(GROUPS + """
+    SELECT title, 'nl' AS language, NULL::BIGINT AS year_from, NULL::BIGINT AS year_to,
+           1800 + n AS pub_year, word_count
+    FROM per_file WHERE lang IN ('de', 'es')""")
 def edbo_corpus(w: Workload):
+    """The layout leaves out names without an exact year."""
     return _corpus(w, "edbo", clean_files(w))
 
 
 @query(GROUPS + """
-    SELECT title, CASE lang WHEN 'es' THEN 'lim' ELSE 'nl' END AS language,
+    SELECT CASE lang WHEN 'es' THEN 'LIM-' ELSE '' END || source || '-' || lang || '.' || (1800 + n)
+               || CASE lang WHEN 'en' THEN '+' || (n % 3) || '_01' ELSE '' END AS title,
+           CASE lang WHEN 'es' THEN 'lim' ELSE 'nl' END AS language,
            CASE WHEN lang = 'en' AND n % 3 > 0 THEN 1800 + n END AS year_from,
            CASE WHEN lang = 'en' AND n % 3 > 0 THEN 1800 + n + n % 3 END AS year_to,
-           CASE WHEN lang <> 'en' OR n % 3 = 0 THEN 1800 + n END AS pub_year, word_count
-    FROM per_file WHERE lang <> 'fr'""")
+           CASE WHEN lang <> 'en' OR n % 3 = 0 THEN 1800 + n END AS pub_year,
+           sum(frequency)::BIGINT AS word_count
+    FROM counts GROUP BY source, lang, n""")
 def dbnl_corpus(w: Workload):
-    return _corpus(w, "dbnl", clean_files(w) + "/file=*[0-9].clean")
+    return _corpus(w, "dbnl", span_files(w))
 
 
 # Word lists and linked lexica.
@@ -373,6 +399,28 @@ def confusion_index_files(w: Workload):
         w.spark, files(w, "confusion-index", rows.write.text))
 
 
+@query(f"""
+    WITH b AS (SELECT DISTINCT {hash_of('wordform')} AS anahash FROM m_benchmark_words),
+    gaps AS (SELECT DISTINCT lead(anahash) OVER (ORDER BY anahash) - anahash AS confusion FROM b)
+    SELECT g.confusion, count(*)::BIGINT AS num_neighbours
+    FROM gaps g, (SELECT DISTINCT anahash FROM m_vocabulary) h
+    JOIN m_vocabulary v ON h.anahash + g.confusion = v.anahash GROUP BY g.confusion""")
+def confusion_index_neighbours(w: Workload):
+    """All words one confusion of an index file away from a hash: the index holds the gaps between
+    the hashes of the benchmark's words."""
+    hashes = ranked(w.benchmark_words.select(
+        anahash(F.col("wordform")).alias("anahash")).distinct(), [F.col("anahash")])
+    following = hashes.select((F.col("rank") - 1).alias("rank"), F.col("anahash").alias("next"))
+    lines = hashes.join(following, "rank").groupBy(
+        (F.col("next") - F.col("anahash")).alias("confusion")).agg(F.concat(
+            F.col("confusion"), F.lit("#"),
+            F.array_join(F.collect_list(F.col("anahash").cast("string")), ",")).alias("value"))
+    index = variant_files.read_confusion_index(
+        w.spark, files(w, "gap-index", lines.select("value").write.text))
+    return confusion_neighbours(w, index).groupBy("confusion").agg(
+        F.count(F.lit(1)).alias("num_neighbours"))
+
+
 @query("""
     SELECT wordform, frequency, 2 * frequency AS running_sum,
            round(frequency / 8, 6) AS share FROM m_vocabulary""")
