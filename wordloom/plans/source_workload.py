@@ -400,15 +400,16 @@ def confusion_index_files(w: Workload):
 
 
 @query(f"""
-    WITH b AS (SELECT DISTINCT {hash_of('wordform')} AS anahash FROM m_benchmark_words),
+    WITH b AS (SELECT DISTINCT {hash_of('wordform')} AS anahash FROM m_benchmark_words
+               WHERE length(wordform) <= 2),
     gaps AS (SELECT DISTINCT lead(anahash) OVER (ORDER BY anahash) - anahash AS confusion FROM b)
     SELECT g.confusion, count(*)::BIGINT AS num_neighbours
     FROM gaps g, (SELECT DISTINCT anahash FROM m_vocabulary) h
     JOIN m_vocabulary v ON h.anahash + g.confusion = v.anahash GROUP BY g.confusion""")
 def confusion_index_neighbours(w: Workload):
     """All words one confusion of an index file away from a hash: the index holds the gaps between
-    the hashes of the benchmark's words."""
-    hashes = ranked(w.benchmark_words.select(
+    the hashes of the benchmark's words of one or two letters."""
+    hashes = ranked(w.benchmark_words.filter(F.length("wordform") <= 2).select(
         anahash(F.col("wordform")).alias("anahash")).distinct(), [F.col("anahash")])
     following = hashes.select((F.col("rank") - 1).alias("rank"), F.col("anahash").alias("next"))
     lines = hashes.join(following, "rank").groupBy(
