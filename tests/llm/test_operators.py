@@ -337,6 +337,37 @@ def test_nearest_of_vectors_of_unequal_length(spark):
         assert hits / (60 * 20) >= 0.95
 
 
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    rows = [(n, [float(n % 7 + 1), 1.0]) for n in range(30)]
+    rows += [(40, [1e200, 1.0]), (41, [1e-200, 1e-200]), (42, [-1e300, 1e300]), (60, [1e-300, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in neighbours.nearest(table).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {0, 20, 40, 60}
+    assert sorted(found[0])[0][1:] == (40, 1e200)
+    assert sorted(found[20])[0][1:] == (40, 7e200)
+    assert sorted(found[40])[0][1:] == (6, 7e200)
+
+
+def test_windows_count_as_brute_force_does():
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((500, 8))
+    longest = float(np.sqrt((vectors**2).sum(axis=1).max()))
+    made = neighbours.index_block(np.arange(500), vectors, longest)
+    order = np.frombuffer(made["order"], np.uint16).reshape(-1, 500)
+    arrays = np.frombuffer(made["sorted"], np.float32).reshape(-1, 500).astype(float)
+    flat = neighbours.one_array(arrays, longest)
+    for width in (0.1, 3.0, 9.0, 1e9):
+        at = rng.standard_normal(len(order)) * 3
+        low = neighbours._ends(*flat, at - width / 2, "left")
+        high = neighbours._ends(*flat, at + width / 2, "right")
+        inside = np.zeros(500, int)
+        for row, places, a in zip(arrays, order, at):
+            inside[places[(row >= a - width / 2) & (row <= a + width / 2)]] += 1
+        assert (neighbours.collisions(order, low.tolist(), high.tolist()) == inside).all()
+
+
 def test_urls_against_brute_force(spark):
     rows = [
         (1, "http://a.example.net/en/x"), (2, "https://EXAMPLE.net/de/"), (3, "http://net"),
