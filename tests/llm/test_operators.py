@@ -66,6 +66,35 @@ def test_odd_tables(spark, name):
     assert run(docs.limit(0)).collect() == []
 
 
+def test_rows_keep_columns_of_any_name(spark):
+    """Operators that return the given rows leave columns named like their own alone."""
+    named = ["spans", "secret_spans", "found_id", "found_rules", "rules", "own_hash", "hash",
+             "group_hash", "group_keep_id", "group_body", "keep_id", "gone_id", "gone_text", "fp",
+             "toxic_score", "score", "key", "body", "id", "__id", "__hash", "__score", "n"]
+    docs = frames(spark)[0].select("*", *[F.lit(n).alias(c) for n, c in enumerate(named)])
+    unlabelled = spark.createDataFrame([], LABELS)
+    for run in (simhash.one_of_each, exact.without_exact_duplicates, secrets.redacted,
+                lambda d: toxicity.without_toxic(d, unlabelled)):
+        kept = run(docs)
+        assert kept.columns == docs.columns
+        assert [tuple(r) for r in kept.select(*named).distinct().collect()] == [
+            tuple(range(len(named)))]
+
+
+def test_labels_are_sampled_without_a_window(spark):
+    labels = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.lit(1).alias("quality"),
+        (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    rows = toxicity.sample(docs, labels, "doc_id", "text", "toxic", most=300)
+    counts = dict(rows.groupBy("toxic").count().collect())
+    assert all(230 < counts[k] < 370 for k in (0, 1))
+    whole = toxicity.sample(docs, labels, "doc_id", "text", "toxic", most=10_000)
+    assert whole.count() == sum(
+        zlib.crc32(str(n).encode()) % 5 != 0 for n in range(3000))
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_duplicates_against_brute_force(spark):
     docs, _ = frames(spark)
     groups = defaultdict(list)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.columns import fresh
 from wordloom.scratch import stored
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -65,7 +66,8 @@ def duplicate_groups(
     )
     if shared.isEmpty():
         return groups
-    hashed = docs.withColumn("__hash", digest(content(F.col(text_col))))
+    hashed = docs.select(id_col, text_col).withColumn(
+        "__hash", digest(content(F.col(text_col))))
     colliding = hashed.join(
         shared.withColumnRenamed("hash", "__hash"), "__hash", "left_semi")
     told_apart = _grouped(colliding, id_col, text_col, digest)
@@ -76,15 +78,19 @@ def duplicate_groups(
     )
 
 
-def _joined(docs: DataFrame, groups: DataFrame, text_col: str, digest) -> DataFrame:
-    """`docs` with the `__keep` and `__size` of each row's group; hot groups may be split."""
-    found = groups.select(*[F.col(c).alias(f"__group_{c}") for c in groups.columns])
-    hashed = docs.withColumn("__hash", digest(content(F.col(text_col))))
-    same = F.col("__hash") == F.col("__group_hash")
-    if "body" in groups.columns:
-        same &= F.col("__group_body").isNull() | (
-            F.col("__group_body") == content(F.col(text_col)))
-    return hashed.join(found, same)
+def _joined(
+    docs: DataFrame, groups: DataFrame, text_col: str, digest,
+) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with the columns of each row's group, and their names; hot groups may be split."""
+    names = dict(zip(groups.columns, fresh(docs, *[f"group_{c}" for c in groups.columns])))
+    [own] = fresh(docs, "own_hash")
+    found = groups.withColumnsRenamed(names)
+    hashed = docs.withColumn(own, digest(content(F.col(text_col))))
+    same = F.col(own) == F.col(names["hash"])
+    if "body" in names:
+        same &= F.col(names["body"]).isNull() | (
+            F.col(names["body"]) == content(F.col(text_col)))
+    return hashed.join(found, same), names
 
 
 def exact_duplicates(
@@ -95,7 +101,7 @@ def exact_duplicates(
 
     Texts are equal when they are identical without ASCII white space; a null text is empty.
     The row with the most code points stays, then the one with the smallest id; a null id
-    comes last.  Rows that repeat an id and its text stay or go together.  An empty table
+    comes last.  Ids are whole numbers.  Rows that repeat an id and its text stay or go together.  An empty table
     gives no rows; other columns of `docs` are not looked at.
     """
     groups = duplicate_groups(docs, id_col, text_col, digest)
@@ -107,8 +113,9 @@ def exact_duplicates(
         found = groups.withColumnRenamed("hash", "__hash")
         joined = rows.join(found, "__hash")
     else:
-        joined = _joined(rows, groups, "__text", digest).withColumnsRenamed(
-            {"__group_keep_id": "keep_id", "__group_group_size": "group_size"})
+        joined, names = _joined(rows, groups, "__text", digest)
+        joined = joined.withColumnsRenamed(
+            {names["keep_id"]: "keep_id", names["group_size"]: "group_size"})
     return joined.select(
         F.col("__id").alias(id_col), "keep_id", "group_size",
         F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
@@ -119,5 +126,6 @@ def without_exact_duplicates(
 ) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     groups = duplicate_groups(docs, id_col, text_col)
-    return _joined(docs, groups, text_col, F.md5).filter(
-        F.col(id_col).eqNullSafe(F.col("__group_keep_id"))).select(*docs.columns)
+    joined, names = _joined(docs, groups, text_col, F.md5)
+    return joined.filter(
+        F.col(id_col).eqNullSafe(F.col(names["keep_id"]))).select(*docs.columns)

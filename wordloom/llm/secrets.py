@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.columns import fresh
 from wordloom.scratch import stored
 
 _parser = re._parser
@@ -198,27 +199,31 @@ def _of_kind(kind: str):
 
 def with_spans(
     docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text",
+    spans_col: str = "spans",
 ) -> DataFrame:
-    """`docs` with a column `spans`: all secrets as `(start, number, kind, end)`, by start,
+    """`docs` with a column `spans_col`: all secrets as `(start, number, kind, end)`, by start,
     then in the order of the rules.  A null text has none."""
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = [r for r in rules if queries[r.kind]]
     trigrams = sorted({t for q in queries.values() for c in q for grams in c for t in grams})
     found = candidates(
         stored(postings(docs, trigrams, id_col, text_col), "postings"), trigrams, indexed, id_col
-    ).withColumnsRenamed({id_col: "__id", "rules": "__rules"})
+    )
+    found_id, found_rules = fresh(docs, "found_id", "found_rules")
+    found = found.select(F.col(id_col).alias(found_id), F.col("rules").alias(found_rules))
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = "array<struct<start:bigint,number:int,kind:string,end:bigint>>"
     parts = []
     for number, rule in enumerate(rules):
         spans = F.transform(matches(text, rule), _named(number, rule.kind))
         if rule in indexed:
-            asked = F.coalesce(F.array_contains("__rules", rule.kind), F.lit(False))
+            asked = F.coalesce(F.array_contains(found_rules, rule.kind), F.lit(False))
             spans = F.when(asked, spans).otherwise(F.array().cast(kind))
         parts.append(spans)
     joined = docs.join(
-        found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop("__id", "__rules")
+        found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(found_id)), "left")
+    return joined.withColumn(spans_col, F.array_sort(F.concat(*parts))).drop(
+        found_id, found_rules)
 
 
 def _said(spans: Column) -> Column:
@@ -248,11 +253,16 @@ def scanned(docs: DataFrame, rules=RULES, id_col: str = "doc_id",
 
 def redacted(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text",
              mark: str = "[secret]") -> DataFrame:
-    """`docs` with every secret of the texts replaced by `mark`; overlapping ones by one."""
+    """`docs` with every secret of the texts replaced by `mark`; overlapping ones by one.
+
+    Null texts stay null, rows that repeat an id are each redacted, an empty table gives no
+    rows, and other columns stay as they are, whatever their names.
+    """
+    [spans] = fresh(docs, "secret_spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     after = F.aggregate(
-        F.col("spans"), start,
+        F.col(spans), start,
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
             F.concat(acc["done"], F.substring(
                 text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
@@ -262,7 +272,7 @@ def redacted(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str
             acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))),
         lambda acc: F.concat(acc["done"], F.substring(
             text, (acc["at"] + 1).cast("int"), F.char_length(text))))
-    found = with_spans(docs, rules, id_col, text_col)
+    found = with_spans(docs, rules, id_col, text_col, spans)
     return found.withColumn(
-        text_col, F.when(F.size("spans") > 0, after).otherwise(F.col(text_col))
+        text_col, F.when(F.size(spans) > 0, after).otherwise(F.col(text_col))
     ).select(*docs.columns)

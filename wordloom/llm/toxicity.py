@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.columns import fresh
 from wordloom.scratch import stored
 
 SAMPLE = 20_000
@@ -185,18 +186,23 @@ def held_out(row_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
            label_col: str, most: int = SAMPLE) -> DataFrame:
-    """`(text, toxic)` of labelled documents that are not held out, at most `most` a label."""
-    from pyspark.sql import Window
+    """`(text, toxic)` of labelled documents that are not held out, about `most` a label.
 
+    Of a label with more, the ids are taken whose hash is below their share.
+    """
     known = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic"))
         .filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
         .groupBy("id").agg(F.max("toxic").alias("toxic"))
     )
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
-    # At most 2 * most rows of an id and a label.
-    chosen = F.broadcast(stored(chosen.drop("n"), "labelled"))
+    known = stored(known, "known-labels")
+    below = F.lit(False)
+    for row in known.groupBy("toxic").count().collect():
+        share = min(1.0, most / row["count"])
+        below |= (F.col("toxic") == row["toxic"]) & (
+            F.shiftrightunsigned(F.xxhash64("id"), 11) <= int(share * (2**53 - 1)))
+    # About 2 * most rows of an id and a label.
+    chosen = F.broadcast(stored(known.filter(below), "labelled"))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         chosen, "id").select("id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
@@ -290,7 +296,7 @@ def fit(rows: DataFrame, stems: list[str], rounds: int = 30, ridge: float = 0.05
 
     def run(batches):
         for batch in batches:
-            found = [np.minimum(grammar.counts(t.as_py()), 64).astype(np.int32).tobytes()
+            found = [np.asarray(grammar.counts(t.as_py()), np.int32).tobytes()
                      for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.binary()), batch.column(1)], names=["counts", "toxic"])
@@ -365,4 +371,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of `docs` that score below one half, with all their columns."""
     model = train(docs, labels, id_col, text_col, label_col)
-    return with_score(docs, model, text_col, "__score").filter("__score < 0.5").drop("__score")
+    [score] = fresh(docs, "toxic_score")
+    return with_score(docs, model, text_col, score).filter(F.col(score) < 0.5).drop(score)
