@@ -88,14 +88,15 @@ def test_bags_against_counter(frame):
     texts += [" ".join(random.choices(["a", "b", "cc", "Cc", "d"], k=random.randint(0, 300)))
               for _ in range(30)]
     rows = frame(list(enumerate(texts)), "doc INT, text STRING")
-    bags = bags_of_texts(rows)
     import regex
 
-    words = [[t for t in regex.findall(r"\p{L}+", text.lower()) if len(t) <= 255]
-             for text in texts]
-    expected = sorted((i, t, n) for i, ws in enumerate(words) for t, n in Counter(ws).items())
-    assert rows_of(long_frame(bags, "doc")) == expected
-    assert rows_of(bags, "doc", "word_count") == [(i, len(ws)) for i, ws in enumerate(words)]
+    # By default words of any length count; a limit is asked for.
+    for longest, bags in ((10**9, bags_of_texts(rows)), (255, bags_of_texts(rows, max_length=255))):
+        words = [[t for t in regex.findall(r"\p{L}+", text.lower()) if len(t) <= longest]
+                 for text in texts]
+        expected = sorted((i, t, n) for i, ws in enumerate(words) for t, n in Counter(ws).items())
+        assert rows_of(long_frame(bags, "doc")) == expected
+        assert rows_of(bags, "doc", "word_count") == [(i, len(ws)) for i, ws in enumerate(words)]
 
 
 def test_word_lists_keep_case(frame):
