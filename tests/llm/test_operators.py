@@ -81,20 +81,6 @@ def test_rows_keep_columns_of_any_name(spark):
             tuple(range(len(named)))]
 
 
-def test_labels_are_sampled_without_a_window(spark):
-    labels = spark.range(3000).select(
-        F.col("id").alias("doc_id"), F.lit(1).alias("quality"),
-        (F.col("id") % 3 == 0).cast("int").alias("toxic"))
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
-    rows = toxicity.sample(docs, labels, "doc_id", "text", "toxic", most=300)
-    counts = dict(rows.groupBy("toxic").count().collect())
-    assert all(230 < counts[k] < 370 for k in (0, 1))
-    whole = toxicity.sample(docs, labels, "doc_id", "text", "toxic", most=10_000)
-    assert whole.count() == sum(
-        zlib.crc32(str(n).encode()) % 5 != 0 for n in range(3000))
-    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
-
-
 def test_exact_duplicates_against_brute_force(spark):
     docs, _ = frames(spark)
     groups = defaultdict(list)
