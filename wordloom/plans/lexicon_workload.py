@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wordloom.operators import corpora as build
 from wordloom.operators import lexica, links, search, words
 from wordloom.operators import lexicon_queries as q
+from wordloom.operators.word_index import WordIndex
 from wordloom.plans.corpus_workload import LOOKUPS
 from wordloom.plans.ingest import empty_model
 from wordloom.plans.oracle import edit_distance, hash_of
@@ -476,15 +477,32 @@ def regexp_search_total(w: Workload):
 
 
 @query("""
+    SELECT wordform, count(*) OVER ()::BIGINT AS total FROM m_vocabulary
+    WHERE regexp_matches(wordform, '^th.*(ing|ed)$') ORDER BY wordform LIMIT 500""")
+def regexp_search_indexed(w: Workload):
+    index = WordIndex.build(w, new_path(w.spark, "word-index"))
+    return index.first_matches("^th.*(ing|ed)$")
+
+
+SUFFIX_PAIRS = """
     WITH f AS (SELECT wordform, frequency FROM m_vocabulary WHERE frequency > 2)
     SELECT a.wordform AS word1, a.frequency AS word1_freq, b.wordform AS word2,
            b.frequency AS word2_freq
     FROM f a JOIN f b ON left(a.wordform, length(a.wordform) - 3) || 'ed' = b.wordform
-    WHERE a.wordform LIKE '%ing'""")
+    WHERE a.wordform LIKE '%ing'"""
+
+
+@query(SUFFIX_PAIRS)
 def suffix_pairs(w: Workload):
     return search.suffix_pairs(w, "ing", "ed", 2)
 
 
+@query(SUFFIX_PAIRS)
+def suffix_pairs_indexed(w: Workload):
+    index = WordIndex.build(w, new_path(w.spark, "word-index"))
+    return index.suffix_pairs("ing", "ed", 2)
+
+
 # Sinks.
 
 @query("""
