@@ -21,6 +21,8 @@ from wordloom.scratch import stored
 _parser = re._parser
 # Most strings that a clause may list; a longer one is left out of the query.
 MOST_STRINGS = 64
+# Elements of an array, and code points of a text, that are worked on at a time.
+RUN, BLOCK = 512, 1024
 
 
 @dataclass(frozen=True)
@@ -155,26 +157,60 @@ def candidates(
         F.size("rules") > 0)
 
 
+def _bound(value: Column, body) -> Column:
+    """`body(value)`, with `value` evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine) -> Column:
+    """What `combine` makes of an array of longs up to each place, starting from 0.
+
+    Results are gathered in runs and then shifted by those of the runs before, so an array is
+    never copied for each of its elements.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def last(array: Column) -> Column:
+        return F.coalesce(F.try_element_at(array, F.lit(-1)), F.lit(0).cast("long"))
+
+    def gathered(run: Column) -> Column:
+        return F.aggregate(run, none, lambda done, v: F.concat(done, F.array(
+            combine(last(done), v))))
+
+    def shifted(runs: Column) -> Column:
+        before = F.aggregate(
+            runs, F.array(F.lit(0).cast("long")),
+            lambda done, run: F.concat(done, F.array(combine(last(done), last(run)))))
+        return F.flatten(F.zip_with(
+            runs, F.slice(before, F.lit(1), F.size(runs)),
+            lambda run, base: F.transform(run, lambda v: combine(base, v))))
+
+    def whole(array: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(array), F.lit(1)), F.lit(RUN))
+        return _bound(
+            F.transform(starts, lambda at: gathered(F.slice(array, at, F.lit(RUN)))), shifted)
+
+    return _bound(values, whole)
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """Spans `(start, end)` of a rule in code points: leftmost, non-overlapping.
 
-    The texts between matches and the matches alternate, so their lengths add up to the
+    The texts between matches and the matches alternate, so their running lengths are the
     positions; short groups are dropped after that.
     """
     pattern = F.lit(rule.regex)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)),
+                        lambda s: F.char_length(s).cast("long"))
     gaps = F.transform(F.split(text, rule.regex, -1), lambda s: F.char_length(s).cast("long"))
-    sizes = F.transform(whole, lambda s: F.char_length(s).cast("long"))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes,
-                       lambda gap, size: F.struct(gap.alias("gap"), size.alias("size")))
     kind = "array<struct<start:bigint,end:bigint>>"
-    none = F.array().cast(kind)
-    spans = F.aggregate(
-        steps, none,
-        lambda done, step: F.concat(done, F.array(F.struct(
-            (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + step["gap"]).alias("start"),
-            (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + step["gap"] + step["size"])
-            .alias("end")))))
+
+    def placed(sizes: Column) -> Column:
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda gap, size: gap + size)
+        return F.zip_with(running(steps, lambda a, b: a + b), sizes, lambda end, size: F.struct(
+            (end - size).alias("start"), end.alias("end")))
+
+    spans = _bound(sizes, placed)
     if rule.least:
         long_enough = F.transform(
             F.regexp_extract_all(text, pattern, F.lit(rule.group)),
@@ -184,7 +220,7 @@ def matches(text: Column, rule: Rule) -> Column:
                 F.arrays_zip(spans.alias("span"), long_enough.alias("long_enough")),
                 lambda x: x["long_enough"]),
             lambda x: x["span"])
-    return F.when(F.regexp_like(text, pattern), spans).otherwise(none)
+    return F.when(F.regexp_like(text, pattern), spans).otherwise(F.array().cast(kind))
 
 
 def _named(number: int, kind: str):
@@ -260,19 +296,37 @@ def redacted(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str
     """
     [spans] = fresh(docs, "secret_spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-    after = F.aggregate(
-        F.col(spans), start,
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            F.concat(acc["done"], F.substring(
-                text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                F.lit(mark)).alias("done"),
-            s["end"].alias("at"),
-        )).otherwise(F.struct(
-            acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))),
-        lambda acc: F.concat(acc["done"], F.substring(
-            text, (acc["at"] + 1).cast("int"), F.char_length(text))))
     found = with_spans(docs, rules, id_col, text_col, spans)
     return found.withColumn(
-        text_col, F.when(F.size(spans) > 0, after).otherwise(F.col(text_col))
+        text_col, F.when(F.size(spans) > 0, _without(text, F.col(spans), mark)).otherwise(
+            F.col(text_col))
     ).select(*docs.columns)
+
+
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """A text with its spans, in order of their starts, replaced: each piece that stays is cut from
+    the blocks that it lies in, not from the whole text."""
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        def block(at: Column) -> Column:
+            return F.floor(at / BLOCK).cast("int")
+
+        near = F.slice(blocks, block(start) + 1, block(end) - block(start) + 1)
+        return F.substring(
+            F.array_join(near, ""), (start - block(start) * BLOCK + 1).cast("int"),
+            (end - start).cast("int"))
+
+    def cut(blocks: Column) -> Column:
+        def kept(ends: Column) -> Column:
+            before = F.concat(F.array(F.lit(0).cast("long")), ends)
+            pieces = F.zip_with(
+                spans, F.slice(before, F.lit(1), F.size(spans)),
+                lambda s, at: F.when(s["start"] >= at, F.concat(
+                    piece(blocks, at, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+            rest = piece(blocks, F.element_at(ends, -1), F.char_length(text).cast("long"))
+            return F.array_join(F.concat(pieces, F.array(rest)), "")
+
+        return _bound(ends, kept)
+
+    return _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), cut)
