@@ -1,5 +1,6 @@
 """Building tables: words, lexica, links, corpora, paradigms, loads and ranks."""
 
+import math
 import random
 
 import pytest
@@ -234,3 +235,39 @@ def test_long_lists_are_refused(golden):
 
     with pytest.raises(ValueError):
         for_words(golden.words, ["x"] * 1001)
+
+
+def _divergence(counts, s):
+    counts = sorted(counts, reverse=True)
+    z, total = sum((r + 1) ** -s for r in range(len(counts))), sum(counts)
+    return sum(c / total * math.log2(c / total * (r + 1) ** s * z)
+               for r, c in enumerate(counts) if c)
+
+
+def test_best_zipf_against_a_fine_grid(frame):
+    """The optimum of plain sums, on steep, flat and gapped counts with ranks beyond own bins."""
+    for counts in (
+            [int(1e6 / (r + 1) ** 1.1) for r in range(3000)],
+            [int(1e5 / (r + 3) ** 0.6) for r in range(900)] + [0] * 50,
+            [1000, 30, 2, 1, 1], [10 ** 6] + [1] * 400):
+        rows = frame([(f"w{i}", c) for i, c in enumerate(counts)], "wordform string, frequency long")
+        [(q, s, kl)] = map(tuple, statistics.best_zipf(rows).collect())
+        low, high = 0.0, 30.0
+        for _ in range(6):
+            grid = [low + (high - low) * i / 40 for i in range(41)]
+            at = min(range(41), key=lambda i: _divergence(counts, grid[i]))
+            low, high = grid[max(at - 1, 0)], grid[min(at + 1, 40)]
+        assert q == 0 and abs(s - grid[at]) < 1e-6
+        assert abs(kl - _divergence(counts, s)) < 1e-8
+        assert statistics.rank_histogram(rows).count() < 250
+
+
+def test_best_zipf_of_extremes(frame):
+    def best(counts):
+        rows = frame([(f"w{i}", c) for i, c in enumerate(counts)], "wordform string, frequency long")
+        return [tuple(r) for r in statistics.best_zipf(rows).collect()]
+
+    assert best([]) == [] and best([0, 0]) == []
+    assert best([5]) == [(0.0, 0.0, 0.0)]
+    assert best([5, 5, 5])[0][:2] == (0.0, 0.0)
+    assert best([5, 0])[0][1] == 60.0

@@ -205,6 +205,26 @@ def fit_zipf(w: Workload):
     return rounded(s.fit_zipf(w.word_frequency, QS, SS), "kl")
 
 
+# Newton's method written out: each step is a sum over all ranks.
+STEPS = "".join(f""",
+    step{i + 1} AS (
+        SELECT s - (any_value(aim) - sum(ln(rank) / pow(rank, s)) / sum(1 / pow(rank, s)))
+                   / (sum(ln(rank) * ln(rank) / pow(rank, s)) / sum(1 / pow(rank, s))
+                      - pow(sum(ln(rank) / pow(rank, s)) / sum(1 / pow(rank, s)), 2)) AS s
+        FROM step{i}, ranked, aims GROUP BY s)""" for i in range(8))
+
+
+@query(RANKED + f""",
+    aims AS (SELECT sum(frequency / total * ln(rank)) AS aim FROM ranked),
+    step0 AS (SELECT 1.0::DOUBLE AS s){STEPS},
+    norm AS (SELECT s, sum(1 / pow(rank, s)) AS z FROM step8, ranked GROUP BY s)
+    SELECT 0.0::DOUBLE AS q, round(any_value(s), 6) AS s,
+           round(sum(frequency / total * log2((frequency / total) * pow(rank, s) * z)), 6) AS kl
+    FROM ranked, norm WHERE frequency > 0""")
+def best_zipf(w: Workload):
+    return rounded(s.best_zipf(w.word_frequency), "s", "kl")
+
+
 @query("""
     SELECT wordform, frequency FROM m_vocabulary""")
 def without_artificial_frequency_counts(w: Workload):
