@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from wordloom.scratch import stored
 
 STATES, ROUNDS, TOP, BUCKETS, SEED = 8, 4, 32_768, 4_096, 42
-#: Training texts are cut into runs of so many tokens; scoring never cuts.
-RUN = 1024
+#: Steps whose forward states are held at once; before them only one state for each such stretch.
+STRETCH = 1024
 #: Tokens whose recursions run side by side, and weight of the prior on emissions.
 TOGETHER, PRIOR = 1_000_000, 20.0
 STICKY = 0.95
@@ -192,41 +192,61 @@ class Hmm:
 
     def expected(self, sequences: list[np.ndarray], emitted: np.ndarray, moved: np.ndarray,
                  started: np.ndarray) -> None:
-        """Adds the expected counts of the sequences, by forward and backward recursion."""
+        """Adds the expected counts of the whole sequences, by forward and backward recursion.
+
+        The forward states are held for one stretch at a time: a first pass keeps those with
+        which a sequence enters each stretch, and the way back computes the others again.
+        """
         side = Abreast(sequences)
         if not side.longest:
             return
         emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
-        here = emit[side.symbols]
-        alpha = np.empty_like(here)
-        scale = np.empty(len(here), np.float32)
-        before = None
-        for t in range(side.longest):
-            at = slice(side.starts[t], side.starts[t + 1])
-            now = here[at] * (
-                self.start.astype(np.float32) if before is None
-                else before[:side.active[t]] @ move)
-            scale[at] = now.sum(axis=1)
-            now /= scale[at][:, None]
-            alpha[at] = before = now
-        gamma = alpha.copy()
+        start = self.start.astype(np.float32)
+
+        def forward(first, last, before, most):
+            for t in range(first, last):
+                n = min(most, side.active[t])
+                begin = side.starts[t]
+                now = emit[side.symbols[begin:begin + n]] * (
+                    start if before is None else before[:n] @ move)
+                scale = now.sum(axis=1)
+                now /= scale[:, None]
+                before = now
+                yield t, now, scale
+
+        edges = [*range(0, side.longest, STRETCH), side.longest]
+        entering = [None]
+        for first, last in zip(edges, edges[1:-1]):
+            state = entering[-1]
+            for _, state, _ in forward(first, last, state, side.active[last]):
+                pass
+            entering.append(state)
         back = None
-        for t in range(side.longest - 1, -1, -1):
-            at = slice(side.starts[t], side.starts[t + 1])
-            beta = np.ones((side.active[t], move.shape[0]), np.float32)
-            if back is not None:
-                beta[:len(back)] = back @ move.T
-                moved += (alpha[at][:len(back)].T @ back) * move
-            gamma[at] *= beta
-            back = here[at] * beta / scale[at][:, None]
+        for first, last, before in reversed(list(zip(edges, edges[1:], entering))):
+            base = side.starts[first]
+            symbols = side.symbols[base:side.starts[last]]
+            here = emit[symbols]
+            alpha, scale = np.empty_like(here), np.empty(len(here), np.float32)
+            for t, now, total in forward(first, last, before, side.active[first]):
+                at = slice(side.starts[t] - base, side.starts[t + 1] - base)
+                alpha[at], scale[at] = now, total
+            gamma = alpha.copy()
+            for t in range(last - 1, first - 1, -1):
+                at = slice(side.starts[t] - base, side.starts[t + 1] - base)
+                beta = np.ones((side.active[t], move.shape[0]), np.float32)
+                if back is not None:
+                    beta[:len(back)] = back @ move.T
+                    moved += (alpha[at][:len(back)].T @ back) * move
+                gamma[at] *= beta
+                back = here[at] * beta / scale[at][:, None]
+            for state in range(move.shape[0]):
+                emitted[:, state] += np.bincount(
+                    symbols, weights=gamma[:, state], minlength=len(emit))
         started += gamma[:side.active[0]].sum(axis=0)
-        for state in range(move.shape[0]):
-            emitted[:, state] += np.bincount(
-                side.symbols, weights=gamma[:, state], minlength=len(emit))
 
 
 def _groups(
-    batches: Iterator[pa.RecordBatch], column: str, cut: int | None = None,
+    batches: Iterator[pa.RecordBatch], column: str,
 ) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches, about TOGETHER tokens each, with their symbol sequences."""
     for batch in batches:
@@ -234,14 +254,31 @@ def _groups(
         first, sequences, held = 0, [], 0
         for at, body in enumerate(bodies, 1):
             symbols = np.frombuffer(body.as_buffer(), "<u2")
-            sequences += [symbols] if cut is None else [
-                symbols[i:i + cut] for i in range(0, len(symbols), cut)]
+            sequences.append(symbols)
             held += len(symbols)
             if held >= TOGETHER or at == len(bodies):
                 yield batch.slice(first, at - first), sequences
                 first, sequences, held = at, [], 0
 
 
+def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The symbol sequences of all batches, about TOGETHER tokens each; those longer than a
+    stretch lie with their like, so that few recursions are long."""
+    pools: tuple[list, list] = ([], [])
+    held = [0, 0]
+    for batch in batches:
+        for body in batch.column(0):
+            symbols = np.frombuffer(body.as_buffer(), "<u2").copy()
+            kind = int(len(symbols) > STRETCH)
+            pools[kind].append(symbols)
+            held[kind] += len(symbols)
+            if held[kind] >= TOGETHER:
+                yield pools[kind]
+                pools[kind].clear()
+                held[kind] = 0
+    yield from pools
+
+
 def baum_welch(texts: DataFrame, share: np.ndarray, rounds: int = ROUNDS,
                states: int = STATES) -> Hmm:
     """The model after `rounds` rounds over the training texts of `encoded`."""
@@ -257,7 +294,7 @@ def baum_welch(texts: DataFrame, share: np.ndarray, rounds: int = ROUNDS,
         def count(batches, sent=sent):
             emitted = np.zeros((size, states))
             moved, started = np.zeros((states, states)), np.zeros(states)
-            for _, sequences in _groups(batches, "symbols", RUN):
+            for sequences in _pools(batches):
                 sent.value.expected(sequences, emitted, moved, started)
             seen = np.flatnonzero(emitted.sum(axis=1))
             numbers = np.concatenate([seen, np.arange(size, size + states + 1)])
