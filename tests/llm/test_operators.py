@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -273,7 +274,9 @@ def test_hmm_against_brute_force(spark, monkeypatch):
         assert r["score"] == pytest.approx(want[4], rel=1e-5, abs=1e-4)
 
 
-def test_baum_welch_counts_are_exact_and_raise_the_likelihood():
+@pytest.mark.parametrize("stretch", [1, 2, 1024])
+def test_baum_welch_counts_are_exact(monkeypatch, stretch):
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
     rng = np.random.default_rng(3)
     share = np.full(4, 0.25)
     model = hmm.Hmm.first(share, 2)
@@ -300,6 +303,23 @@ def test_baum_welch_counts_are_exact_and_raise_the_likelihood():
     assert started.sum() == pytest.approx(len(texts), abs=1e-4)
 
 
+def test_baum_welch_trains_on_whole_texts():
+    """Texts longer than a stretch start once and keep every transition."""
+    rng = np.random.default_rng(5)
+    model = hmm.Hmm.first(np.full(6, 1 / 6), 3)
+    texts = [rng.integers(0, 6, n) for n in (5000, 2500, 1024, 1025, 7, 1)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([t.astype("<u2").tobytes() for t in texts], pa.binary())], names=["symbols"])
+    emitted, moved, started = np.zeros((6, 3)), np.zeros((3, 3)), np.zeros(3)
+    pools = list(map(list, hmm._pools([batch])))
+    assert sorted(len(t) for pool in pools for t in pool) == sorted(map(len, texts))
+    for pool in pools:
+        model.expected(pool, emitted, moved, started)
+    assert started.sum() == pytest.approx(len(texts), rel=1e-4)
+    assert moved.sum() == pytest.approx(sum(len(t) - 1 for t in texts), rel=1e-4)
+    assert np.allclose(emitted.sum(axis=1), np.bincount(np.concatenate(texts)), rtol=1e-4)
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(2)
     vectors = rng.standard_normal((700, 16)) * rng.uniform(0.5, 2, (700, 1))
@@ -527,6 +547,66 @@ def test_transducers_compose():
     assert grammar.counts("stupid. stupid! lowei")[number["insult", "bare", "", ""]] == 3
 
 
+def _stems_naively(texts):
+    """The learned stems by their definition, term by term."""
+    def terms(word):
+        own = {word} if len(word) >= 4 else set()
+        return own | {word[:n] + "*" for n in range(4, min(len(word), 13))}
+
+    holders, contexts = defaultdict(Counter), defaultdict(set)
+    for text, toxic in texts:
+        words = ["", *toxicity.WORD.findall(text.lower()), ""]
+        for term in set().union(*map(terms, words)):
+            holders[term][toxic] += 1
+        for before, word, after in zip(words, words[1:], words[2:]):
+            for term in terms(word) if toxic else ():
+                contexts[term].add((before, after))
+    least = max(5, 0.002 * sum(t for _, t in texts))
+    support = {t: n[1] for t, n in holders.items() if n[1] >= least
+               and n[1] >= 0.95 * (n[0] + n[1]) and len(contexts[t]) >= 5}
+    kept = []
+    for term in sorted(support, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
+        body = term.rstrip("*")
+        if any(k.endswith("*") and body.startswith(k[:-1]) for k in kept):
+            continue
+        if term.endswith("*") and any(
+                t != term and t.startswith(body) and support[t] >= support[term]
+                for t in support):
+            continue
+        kept.append(term)
+    return kept
+
+
+def test_toxicity_against_brute_force(spark):
+    """Stems by their definition, though a copied text has thousands of terms of more support;
+    weights at the optimum of the penalised likelihood; scores by the logistic function."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdeo"), rng.integers(3, 9))) for _ in range(200)]
+    copied = " ".join("".join(rng.choice(list("rstuvwxyz"), 9)) for _ in range(1200))
+    texts = [(copied, 1)] * 40
+    for n in range(160):
+        some = [str(w) for w in rng.choice(words, 30)]
+        if n % 2:
+            some[5] = str(rng.choice(["zorkel", "zorkelig", "zorkels", "blurfen"]))
+            some[12] = str(rng.choice(["you", "not", "said", "kill", "quimbus"]))
+        texts.append((" ".join(some) + "." * (n % 3), n % 2))
+    rows = spark.createDataFrame(
+        [(n, t, y) for n, (t, y) in enumerate(texts)], "id long, text string, toxic int")
+    stems = toxicity.learn_stems(rows)
+    assert stems == _stems_naively(texts) and "zorke*" in stems
+    weights = np.array(toxicity.fit(rows, stems))
+    grammar = toxicity.Grammar(stems)
+    x = np.array([[*np.log1p(grammar.counts(t)), 1.0] for t, _ in texts])
+    p = 1 / (1 + np.exp(-x @ weights))
+    slope = x.T @ (np.array([y for _, y in texts]) - p)
+    ridge = np.full(len(weights), 0.05)
+    ridge[-1] = 1e-6
+    assert np.abs(slope - ridge * weights).max() < 1e-5
+    scores = toxicity.with_score(
+        rows, toxicity.Model(tuple(stems), tuple(map(float, weights)))).collect()
+    assert [r["score"] for r in sorted(scores, key=lambda r: r["id"])] == pytest.approx(list(p))
+
+
 def test_toxicity_learns_from_labels_alone(spark):
     """Half the texts hold an insult of an invented stem; held-out rows are told apart."""
     rng = np.random.default_rng(0)

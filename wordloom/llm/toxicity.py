@@ -36,8 +36,9 @@ from wordloom.scratch import stored
 SAMPLE = 20_000
 #: A stem is learned from at least so many toxic documents (or this share of them), of which
 #: so many must hold it between different words, as copies of one document prove little; of
-#: all documents that hold it, the share PURE must be toxic.  At most MOST_STEMS are taken.
-LEAST_SUPPORT, LEAST_SHARE, LEAST_CONTEXTS, PURE, MOST_STEMS = 5, 0.002, 5, 0.95, 5_000
+#: all documents that hold it, the share PURE must be toxic.  All such terms are taken: by the
+#: share, at most 500 for each distinct term that a toxic text of the sample has on average.
+LEAST_SUPPORT, LEAST_SHARE, LEAST_CONTEXTS, PURE = 5, 0.002, 5, 0.95
 SHORTEST, LONGEST = 4, 12
 #: The constant of a model without labelled rows of both kinds: nothing counts as toxic.
 UNTAUGHT = -3.0
@@ -204,7 +205,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
 def _between_different_words(rows: DataFrame, terms: set[str]) -> list[str]:
     """The terms that stand between enough different pairs of words."""
+    sent = rows.sparkSession.sparkContext.broadcast(terms)
+
     def run(batches):
+        terms = sent.value
         for batch in batches:
             held, contexts = [], []
             for text in batch.column(0):
@@ -260,22 +264,30 @@ def learn_stems(rows: DataFrame) -> list[str]:
             run, "term string, toxic long, n long")
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
         .filter((F.col("toxic") >= least) & (F.col("toxic") >= PURE * F.col("n")))
-        .orderBy(F.desc("toxic"), "term").limit(MOST_STEMS).collect()
+        .collect()
     )
     support = {r["term"]: r["toxic"] for r in found}
-    support = {t: support[t] for t in _between_different_words(rows, set(support))}
-    kept: list[str] = []
-    for term in sorted(support, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
-        body = term.rstrip("*")
-        if any(body.startswith(k[:-1]) for k in kept if k.endswith("*")):
-            continue
-        if term.endswith("*"):
-            longer = [t for t in support if t != term and t.startswith(body)
-                      and support[t] >= support[term]]
-            if longer:
-                continue
-        kept.append(term)
-    return kept
+    return shortest_pure({t: support[t] for t in _between_different_words(rows, set(support))})
+
+
+def _beginnings(term: str) -> list[str]:
+    body = term.rstrip("*")
+    return [body[:n] + "*" for n in range(SHORTEST, min(len(body), LONGEST) + 1)
+            if body[:n] + "*" != term]
+
+
+def shortest_pure(support: dict[str, int]) -> list[str]:
+    """Of pure terms and their documents, those that no shorter beginning stands for.
+
+    A beginning with no more documents than one of its longer terms gives way to that.
+    """
+    longer: dict[str, int] = {}
+    for term, documents in support.items():
+        for beginning in _beginnings(term):
+            longer[beginning] = max(longer.get(beginning, 0), documents)
+    own = {t for t, n in support.items() if not t.endswith("*") or longer.get(t, 0) < n}
+    return sorted((t for t in own if own.isdisjoint(_beginnings(t))),
+                  key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t))
 
 
 def features(counts: np.ndarray) -> np.ndarray:
