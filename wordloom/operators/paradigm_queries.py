@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import paradigm_code
@@ -236,7 +236,7 @@ def paradigm_size(model: Model, var: str = "X") -> DataFrame:
         F.desc("num_paradigms"), var)
 
 
-def _with_frequency(rows: DataFrame, model: Model) -> DataFrame:
+def with_frequency(rows: DataFrame, model: Model) -> DataFrame:
     return rows.join(model.word_frequency, "wordform", "left")
 
 
@@ -245,7 +245,7 @@ def variants_by_codes(model: Model, W: int, X: int, Y: int, Z: int) -> DataFrame
     rows = model.paradigms.filter(
         (F.col("W") == W) & (F.col("X") == X) & (F.col("Y") == Y) & (F.col("Z") == Z)
         & F.col("word_type_code").isin(LEMMA, MEMBER))
-    return _with_frequency(rows, model).select(
+    return with_frequency(rows, model).select(
         "wordform", F.coalesce("frequency", F.lit(0).cast("long")).alias("frequency"))
 
 
@@ -259,7 +259,7 @@ def codes_of_word(model: Model, words: Words) -> DataFrame:
 def _lemmas(model: Model, Z: int, Y: int) -> DataFrame:
     rows = model.paradigms.filter(
         (F.col("Z") == Z) & (F.col("Y") == Y) & (F.col("word_type_code") == LEMMA))
-    return _with_frequency(rows, model)
+    return with_frequency(rows, model)
 
 
 def nearest_x(model: Model, X: int, Y: int, Z: int, limit: int = 50) -> DataFrame:
@@ -299,12 +299,8 @@ def paradigm_network(
     task keeps only its own top rows before the window.
     """
     small = F.broadcast if is_listed(words) else (lambda df: df)
-    root = for_words(model.paradigms, words).groupBy(
-        F.col("wordform").alias("lookup_word")
-    ).agg(F.min_by(F.struct(*CODES), "paradigm_id").alias("r")).select(
-        "lookup_word", F.col("r.Z").alias("Z"), F.col("r.Y").alias("Y"),
-        F.col("r.X").alias("root_x"), F.col("r.W").alias("root_w"))
-    candidates = _with_frequency(
+    root = network_roots(for_words(model.paradigms, words))
+    candidates = with_frequency(
         model.paradigms.filter(F.col("word_type_code") == LEMMA).join(
             small(root), ["Z", "Y"]), model,
     ).select(
@@ -323,12 +319,30 @@ def paradigm_network(
         candidates.join(small(chosen), ["lookup_word", "X"])
         .withColumn("place", F.row_number().over(frequent)).filter(F.col("place") <= lemmas)
     )
-    # A hub has at most `lemmas` members, so they fit in an array.
+    return drawn_network(top.groupBy(*root.columns, "X", "rooted").agg(*members_of_hub()))
+
+
+def network_roots(rows: DataFrame) -> DataFrame:
+    """(lookup_word, Z, Y, root_x, root_w): the codes of each word's first paradigm."""
+    return rows.groupBy(F.col("wordform").alias("lookup_word")).agg(
+        F.min_by(F.struct(*CODES), "paradigm_id").alias("r")
+    ).select(
+        "lookup_word", F.col("r.Z").alias("Z"), F.col("r.Y").alias("Y"),
+        F.col("r.X").alias("root_x"), F.col("r.W").alias("root_w"))
+
+
+def members_of_hub() -> list[Column]:
+    """Aggregates of a hub's rows, which are few, so they fit in an array."""
     member = F.struct("place", "wordform", "W", F.col("frequency").alias("f"))
-    hubs = top.groupBy(*root.columns, "X", "rooted").agg(
-        F.sum("frequency").alias("frequency"),
-        F.sort_array(F.collect_list(member)).alias("members"),
-    ).select("*", F.format_string("Z%dY%dX%d", "Z", "Y", "X").alias("hub"), own.alias("own"))
+    return [F.sum("frequency").alias("frequency"),
+            F.sort_array(F.collect_list(member)).alias("members")]
+
+
+def drawn_network(hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of hubs: the columns of `network_roots`, X, rooted and `members_of_hub`."""
+    hubs = hubs.select(
+        "*", F.format_string("Z%dY%dX%d", "Z", "Y", "X").alias("hub"),
+        (F.col("X") == F.col("root_x")).alias("own"))
     shown = F.filter("members", lambda m: F.size("members") > 1)
 
     def node(name, W, kind: str, frequency, wordform):
