@@ -92,8 +92,10 @@ def test_files_are_skipped_and_filters_pushed(model, index):
     row = paradigm_rows()[1]
     exact = index.at(model, **{c: row[c] for c in q.CODES})
     assert 1 <= opened(exact) <= FILES // 4
-    plan = exact.paradigms._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(X," in plan and "EqualTo(W," in plan
+    spark = exact.paradigms.sparkSession
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = exact.paradigms._jdf.queryExecution().explainString(formatted)
+    assert all(f"EqualTo({c},{row[c]})" in plan for c in q.CODES)
     assert opened(index.of_words(model, "w7")) < FILES
 
 
