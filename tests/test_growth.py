@@ -36,6 +36,17 @@ def test_vocabulary_is_that_of_the_attestations(spark):
     assert rows_of(workload.vocabulary, "wordform", "frequency") == rows_of(totals)
 
 
+def test_parts_of_a_sorted_table_grow_with_its_rows(spark, monkeypatch):
+    workload = Workload(spark, FOLDER)
+    rows = long_frame(workload.bags).count()
+    monkeypatch.setattr(scratch, "ROWS_A_PART", rows // 40)
+    assert 40 <= workload.attested_parts <= 42
+    assert 35 <= len(workload.marked_rows.inputFiles()) <= 42
+    index = WordIndex.build(workload, new_path(spark, "word-index"))
+    trigrams = index.trigrams.count()
+    assert len(index.trigrams.inputFiles()) >= trigrams / (rows // 40) * 0.7
+
+
 def test_paradigms_are_scanned_for_listed_words(spark):
     found = paradigm_queries.morph_links(Workload.of(spark, FOLDER), ["thing", "ertion"])
     plan = plan_of(found)

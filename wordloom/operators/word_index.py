@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.model import Model
-from wordloom.scratch import stored
+from wordloom.scratch import parts_for, stored
 
 TRIGRAMS = "trigram STRING, wordform STRING"
 REVERSED = "reversed STRING, wordform STRING, frequency LONG"
@@ -144,13 +144,18 @@ class WordIndex:
         words = model.words.select("wordform").filter("wordform is not null").distinct()
         words.write.parquet(f"{path}/words")
         spark = words.sparkSession
-        spark.read.schema(WORDS).parquet(f"{path}/words").select(
+        kept = spark.read.schema(WORDS).parquet(f"{path}/words")
+        size = kept.agg(
+            F.count(F.lit(1)).alias("words"), F.sum(F.char_length("wordform")).alias("trigrams")
+        ).first()
+        kept.select(
             F.explode(_each_trigram(F.col("wordform"))).alias("trigram"), "wordform",
-        ).repartitionByRange("trigram", "wordform").sortWithinPartitions(
+        ).repartitionByRange(
+            parts_for(spark, size["trigrams"]), "trigram", "wordform").sortWithinPartitions(
             "trigram", "wordform").write.parquet(f"{path}/trigrams")
         model.word_frequency.filter("wordform is not null").select(
             F.reverse("wordform").alias("reversed"), "wordform", "frequency",
-        ).repartitionByRange("reversed").sortWithinPartitions("reversed").write.parquet(
+        ).repartitionByRange(parts_for(spark, size["words"]), "reversed").sortWithinPartitions("reversed").write.parquet(
             f"{path}/reversed")
         return WordIndex.open(spark, path)
 
