@@ -53,3 +53,25 @@ def test_paradigms_are_scanned_for_listed_words(spark):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert sum("looked-up" in line for line in scans) == 1
+
+
+def test_file_names_of_any_path(spark):
+    paths = [
+        ("/a/b=c/part-1-x.txt", "c"), ("part-0", "part-0"), ("a", "a"), ("/a/", ""), ("", ""),
+        ("a/part-1/part-2", "part-1"), ("file:///x/y%20z/1803+2_01.clean", "1803+2_01.clean"),
+        ("/q/a%2Bb.tsv", "a+b.tsv"), ("/x/k=v=w/part-", "v=w"),
+        (None, None)]
+    df = spark.createDataFrame(paths, "path string, name string")
+    for row in df.select("path", "name", file_name(F.col("path")).alias("found")).collect():
+        assert row["found"] == row["name"], row
+    # No expression runs over a whole path, as deep as folders may be.
+    assert "substring_index(path" in df.select(file_name(F.col("path")))._jdf.queryExecution(
+        ).analyzed().toString()
+
+
+def test_lines_are_sorted_behind_the_shuffle_only(spark, tmp_path):
+    (tmp_path / "a.clean").write_text("x\t1\ny\t2\nx\t3\n")
+    found = frequency_files.read_frequency_files(spark, str(tmp_path))
+    below = plan_of(found).split("Exchange hashpartitioning(file")
+    assert len(below) == 2 and "Sort" not in below[1]
+    assert rows_of(found) == [("a.clean", "x", 3), ("a.clean", "y", 2)]

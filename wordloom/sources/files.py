@@ -12,7 +12,9 @@ def file_name(path: Column) -> Column:
     A folder of `part-*` files, as Spark writes it, counts as one file under the folder's
     name; a `column=value` folder is named by its value.
     """
-    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    # The last two steps say it all; the expression tries every character before the name.
+    steps = F.substring_index(path, "/", -2)
+    decoded = F.url_decode(F.replace(steps, F.lit("+"), F.lit("%2B")))
     name = F.regexp_extract(decoded, r"([^/]+?)(?:/part-[^/]*)?$", 1)
     return F.regexp_replace(name, r"^[^=/]+=", "")
 

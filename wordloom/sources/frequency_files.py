@@ -27,7 +27,8 @@ def read_frequency_files(
         "file", fields[0].alias("wordform"),
         F.trim(fields[1]).cast("long").alias("frequency"), "line_order",
     )
-    rows = rows.filter(F.length("wordform") <= max_word_length)
+    # Words of a file are nearly all different: sorted once, behind the shuffle, not before it too.
+    rows = rows.filter(F.length("wordform") <= max_word_length).repartition("file", "wordform")
     return rows.groupBy("file", "wordform").agg(
         F.max_by("frequency", "line_order").alias("frequency"))
 
