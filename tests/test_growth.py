@@ -55,6 +55,13 @@ def test_paradigms_are_scanned_for_listed_words(spark):
     assert sum("looked-up" in line for line in scans) == 1
 
 
+def test_series_are_shuffled_once_after_their_sums(spark):
+    series = corpus_queries.word_in_corpora_over_time(Workload.of(spark, FOLDER), None, 1850, 1950)
+    exchanges = [line for line in plan_of(series).splitlines()
+                 if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2
+
+
 def test_file_names_of_any_path(spark):
     paths = [
         ("/a/b=c/part-1-x.txt", "c"), ("part-0", "part-0"), ("a", "a"), ("/a/", ""), ("", ""),
