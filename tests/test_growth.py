@@ -47,6 +47,19 @@ def test_parts_of_a_sorted_table_grow_with_its_rows(spark, monkeypatch):
     assert len(index.trigrams.inputFiles()) >= trigrams / (rows // 40) * 0.7
 
 
+def test_attested_tokens_in_many_parts(spark, monkeypatch):
+    usual = lemma_queries.tokens_per_document(Workload.of(spark, FOLDER).lemma_db)
+    workload = Workload(spark, FOLDER)
+    monkeypatch.setattr(scratch, "ROWS_A_PART", 500)
+    parts = workload.attested_parts
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = lemma_queries.tokens_per_document(workload.lemma_db, parts)
+    for key in ("wordform", "analysis_id", "document_id"):
+        assert any(f"hashpartitioning({key}" in line and f", {parts})" in line
+                   for line in plan_of(found).splitlines())
+    assert rows_of(found) == rows_of(usual)
+
+
 def test_paradigms_are_scanned_for_listed_words(spark):
     found = paradigm_queries.morph_links(Workload.of(spark, FOLDER), ["thing", "ertion"])
     plan = plan_of(found)
