@@ -1,5 +1,7 @@
 """What keeps the cost of queries in proportion to their tables."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,14 +9,17 @@ from tests.conftest import rows_of
 from wordloom import scratch
 from wordloom.functions.bags import long_frame
 from wordloom.operators import corpus_queries, lemma_queries, paradigm_queries
+from wordloom.operators.marks import MARKS, marked
 from wordloom.operators.word_index import WordIndex
 from wordloom.plans.catalog import QUERIES
+from wordloom.plans.ingest import empty_model
 from wordloom.plans.workload import Workload
 from wordloom.scratch import new_path
 from wordloom.sources import frequency_files
 from wordloom.sources.files import file_name
 
 FOLDER = "/root/testdata/sf0.001"
+COLUMNS = ["wordform", "document_id", "frequency", *MARKS]
 
 
 def plan_of(df):
@@ -95,3 +100,64 @@ def test_lines_are_sorted_behind_the_shuffle_only(spark, tmp_path):
     below = plan_of(found).split("Exchange hashpartitioning(file")
     assert len(below) == 2 and "Sort" not in below[1]
     assert rows_of(found) == [("a.clean", "x", 3), ("a.clean", "y", 2)]
+
+
+@pytest.mark.parametrize("name", [
+    "table_cardinalities", "word_frequency_per_year", "lexica_of_word"])
+def test_counts_and_few_words_mark_no_bags(spark, name):
+    """One table of bags is enough; neither it nor the attestations are written a second time."""
+    workload = Workload(spark, FOLDER)
+    assert QUERIES[name].run(workload).count() > 0
+    assert not {"marked_rows", "marked_bags"} & set(workload.__dict__)
+
+
+@pytest.mark.parametrize("name", [
+    "words_in_lexicon_and_corpus", "word_frequency_per_year_all_words", "word_over_time_metadata",
+    "word_in_corpora"])
+def test_all_words_are_read_from_one_table_of_marked_bags(spark, name):
+    workload = Workload(spark, FOLDER)
+    assert QUERIES[name].run(workload).count() > 0
+    assert "marked_bags" in workload.__dict__ and "marked_rows" not in workload.__dict__
+    assert all("/marked-bags-" in file for file in workload.bags.inputFiles())
+
+
+def odd_folder(spark, path):
+    """Documents without id, text, source or language, unlabelled ones and labels of no document."""
+    spark.createDataFrame([
+        (1, "b a b", "en", "src1"), (2, "a", "en", "src1"), (3, None, "nl", "src2"),
+        (4, "", "nl", "src2"), (5, "c a", None, None), (None, "d a", "en", "src3"),
+        (None, "d", "en", "src3"), (10, "a c", "en", "plain")],
+        "doc_id long, text string, lang string, source string",
+    ).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (4, 1, 0), (5, 1, 0), (77, 1, 0), (None, 1, 0)],
+                          "doc_id long, quality int, toxic int",
+                          ).write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_marked_bags_of_texts_and_of_bags_are_those_joined_with_documents(spark, tmp_path):
+    folder = odd_folder(spark, tmp_path)
+    of_texts, of_bags, joined = (Workload(spark, folder) for _ in range(3))
+    assert joined.bags.count() == 8
+    expected = rows_of(marked(replace(empty_model(spark), **{
+        name: getattr(joined, name) for name in (
+            "attestations", "documents", "corpus_documents")})).select(*COLUMNS))
+    assert len(expected) == 7
+    assert rows_of(marked(of_texts).select(*COLUMNS)) == expected
+    assert "bags" not in of_texts.__dict__
+    assert rows_of(of_texts.bags) == rows_of(joined.bags)
+    assert rows_of(of_texts.documents) == rows_of(joined.documents)
+    assert of_bags.bags.count() == 8
+    assert rows_of(marked(of_bags).select(*COLUMNS)) == expected
+    assert rows_of(of_bags.marked_rows.select(*COLUMNS)) == expected
+    # Few words meet the marks by themselves, and equal those of the marked bags.
+    assert rows_of(marked(joined, ["a"]).select(*COLUMNS)) == [
+        row for row in expected if row[0] == "a"]
+    assert "marked_bags" not in joined.__dict__
+
+
+def test_marked_bags_are_in_more_parts_where_texts_are_long(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "ROWS_A_PART", 500)
+    workload = Workload(spark, FOLDER)
+    assert len(workload.marked_bags.inputFiles()) > int(
+        spark.conf.get("spark.sql.shuffle.partitions"))
