@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
+from tests.test_skew import settings
 from wordloom import scratch
 from wordloom.functions.bags import long_frame
-from wordloom.operators import corpus_queries, lemma_queries, paradigm_queries
+from wordloom.operators import corpus_queries, lemma_queries, lexicon_queries, paradigm_queries
 from wordloom.operators.marks import MARKS, marked
 from wordloom.operators.word_index import WordIndex
 from wordloom.plans.catalog import QUERIES
@@ -161,3 +162,12 @@ def test_marked_bags_are_in_more_parts_where_texts_are_long(spark, monkeypatch):
     workload = Workload(spark, FOLDER)
     assert len(workload.marked_bags.inputFiles()) > int(
         spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_words_of_a_corpus_leave_a_task_once(spark):
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        lines = plan_of(lexicon_queries.words_in_lexicon_and_corpus(
+            Workload.of(spark, FOLDER), "lang_en", "quality")).splitlines()
+    shuffled = [below for line, below in zip(lines, lines[1:])
+                if "Exchange hashpartitioning(wordform" in line]
+    assert len(shuffled) == 2 and all("HashAggregate" in line for line in shuffled)
