@@ -104,7 +104,7 @@ def test_lines_are_sorted_behind_the_shuffle_only(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", [
-    "table_cardinalities", "word_frequency_per_year", "lexica_of_word"])
+    "table_cardinalities", "corrections_nested", "word_frequency_per_year", "lexica_of_word"])
 def test_counts_and_few_words_mark_no_bags(spark, name):
     """One table of bags is enough; neither it nor the attestations are written a second time."""
     workload = Workload(spark, FOLDER)
