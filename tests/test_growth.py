@@ -171,3 +171,8 @@ def test_words_of_a_corpus_leave_a_task_once(spark):
     shuffled = [below for line, below in zip(lines, lines[1:])
                 if "Exchange hashpartitioning(wordform" in line]
     assert len(shuffled) == 2 and all("HashAggregate" in line for line in shuffled)
+
+
+def test_ranges_of_series_take_no_shuffle_of_their_own(spark):
+    plan = plan_of(QUERIES["word_over_time_metadata"].run(Workload.of(spark, FOLDER)))
+    assert plan.count("Exchange hashpartitioning") == 2
